@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..defaults import CLASSES, HEALTH_RULES, ORDER, TARGETS, UNKNOWN_CLASS
 from ..functions import calendar as cal
@@ -21,7 +21,7 @@ from ..sources.catalog import numeric_columns
 from .align import complete_weekdays
 from .clean import last_days
 from .quantiles import exact_quantiles, first_rows
-from .scale import last_n, one_row, order_key, recency
+from .scale import last_n, one_row, order_key, recency, report_rows
 
 
 def _rows() -> Column:
@@ -39,7 +39,7 @@ def long_report(
         F.struct(F.lit(c).alias(key), *[make(F.col(c)).alias(name) for name, make in measures.items()])
         for c in columns
     ]
-    return df.agg(F.array(*structs).alias("_rows")).select(F.inline("_rows"))
+    return report_rows(df, structs)
 
 
 def with_quantiles(
@@ -89,7 +89,7 @@ def class_distribution(df: DataFrame, classes: Sequence[str] = CLASSES, column:
             ]
         ).alias("_rows")
     )
-    return counts.select(F.inline("_rows")).select(
+    return counts.select(F.inline_outer("_rows")).select(
         column, "rows", F.coalesce(percent(F.col("rows"), F.col("_n")), F.lit(0.0)).alias("pct")
     )
 
@@ -144,7 +144,7 @@ def null_report(df: DataFrame, only_missing: bool = False) -> DataFrame:
         )
         for c in df.columns
     ]
-    report = df.agg(F.array(*structs).alias("_rows")).select(F.inline("_rows"))
+    report = report_rows(df, structs)
     return report.where("nulls > 0") if only_missing else report
 
 
@@ -189,15 +189,13 @@ def daily_mean(
 
 
 def _open_gaps(daily: DataFrame, columns: Sequence[str], sites: Sequence[str]) -> DataFrame:
-    from pyspark.sql import Window
-
     following = F.lead("day").over(Window.partitionBy(*sites).orderBy("day"))
     until = F.coalesce(F.date_sub(following, 1), F.col("day"))
-    spread = daily.withColumn("_known", F.col("day")).withColumn("_day", F.explode(F.sequence("day", until)))
+    spread = daily.withColumn("_until", until).withColumn("_day", F.explode(F.sequence("day", "_until")))
     return spread.select(
         *sites,
         F.col("_day").alias("day"),
-        *[F.when(F.col("_day") == F.col("_known"), F.col(c)).alias(c) for c in columns],
+        *[F.when(F.col("_day") == F.col("day"), F.col(c)).alias(c) for c in columns],
     )
 
 
@@ -302,7 +300,7 @@ def weather_coverage(df: DataFrame, threshold: float = 0.05, empty: float = 0.01
             for c, s in zip(columns, shares)
         ]
     )
-    return df.agg(rows.alias("_rows")).select(F.inline("_rows"))
+    return df.agg(rows.alias("_rows")).select(F.inline_outer("_rows"))
 
 
 # ---------------------------------------------------------------- health and recent status
@@ -338,7 +336,7 @@ def parameter_health(df: DataFrame, rules: Sequence[tuple] = HEALTH_RULES) -> Da
                 status.alias("status"),
             )
         )
-    return df.agg(F.array(*structs).alias("_rows")).select(F.inline("_rows"))
+    return report_rows(df, structs)
 
 
 def latest_values(df: DataFrame, columns: Sequence[str], order: Sequence[str] = ORDER) -> DataFrame:
@@ -408,7 +406,7 @@ def target_gauge(df: DataFrame, targets: Sequence[tuple] = TARGETS, days: int =
                 band.alias("band"),
             )
         )
-    return last_days(df, days).agg(F.array(*structs).alias("_rows")).select(F.inline("_rows"))
+    return report_rows(last_days(df, days), structs)
 
 
 def index_gauge(df: DataFrame, order: Sequence[str] = ORDER, zones: Sequence[float] = (40.0, 60.0, 80.0)) -> DataFrame:

@@ -10,7 +10,7 @@ from ..defaults import ORDER
 from ..functions.numeric import count_if, percent, ratio
 from .aggregate import long_report
 from .quantiles import exact_quantiles
-from .scale import last_n, one_row
+from .scale import last_n, one_row, report_rows
 
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str], m: float = 1.5) -> dict[str, tuple[Column, Column]]:
@@ -63,7 +63,7 @@ def outlier_report(df: DataFrame, columns: Sequence[str], m: float = 1.5, of_all
                 F.bround(high, 2).alias("upper_bound"),
             )
         )
-    return df.agg(F.array(*structs).alias("_rows")).select(F.inline("_rows"))
+    return report_rows(df, structs)
 
 
 def upper_three_sigma(df: DataFrame, columns: Sequence[str], k: float = 3.0) -> DataFrame:
@@ -82,7 +82,7 @@ def upper_three_sigma(df: DataFrame, columns: Sequence[str], k: float = 3.0) ->
             ]
         ).alias("_rows")
     )
-    return report.select(F.inline("_rows")).where("extreme > 0")
+    return report.select(F.inline_outer("_rows")).where("extreme > 0")
 
 
 def anomaly_summary(flagged: DataFrame, column: str) -> DataFrame:

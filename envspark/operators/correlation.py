@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..defaults import ORDER
 from ..functions.numeric import count_if
-from .scale import BROADCAST_ROWS, running_totals, written
+from .scale import BROADCAST_ROWS, report_rows, running_totals, written
 
 
 def _pair_moments(x: Column, y: Column) -> tuple[Column, Column]:
@@ -28,17 +28,17 @@ def _upper(df: DataFrame, columns: Sequence[str], pick) -> DataFrame:
             structs.append(
                 F.struct(F.lit(columns[i]).alias("param_1"), F.lit(columns[j]).alias("param_2"), n.alias("n"), r.alias("corr"))
             )
-    return df.agg(F.array(*structs).alias("_rows")).select(F.inline("_rows"))
+    return report_rows(df, structs)
 
 
 def _mirrored(upper: DataFrame) -> DataFrame:
     """Both triangles from the upper one, whose aggregate runs once."""
-    both = F.when(
-        F.col("param_1") == F.col("param_2"), F.array(F.struct("param_1", "param_2"))
-    ).otherwise(
-        F.array(F.struct("param_1", "param_2"), F.struct(F.col("param_2").alias("param_1"), F.col("param_1").alias("param_2")))
+    turned = F.when(
+        F.col("param_1") != F.col("param_2"),
+        F.struct(F.col("param_2").alias("param_1"), F.col("param_1").alias("param_2")),
     )
-    return upper.select(F.explode(both).alias("_p"), "n", "corr").select("_p.param_1", "_p.param_2", "n", "corr")
+    both = F.array_compact(F.array(F.struct("param_1", "param_2"), turned))
+    return upper.select(F.inline_outer(both), "n", "corr")
 
 
 def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -144,7 +144,7 @@ def pair_counts(df: DataFrame, columns: Sequence[str], min_pairs: int = 5) -> Da
     ]
     most = F.greatest(*[F.count(c) for c in columns]) if len(columns) > 1 else F.count(columns[0])
     counted = df.agg(F.array(*cells).alias("_rows"), (most >= min_pairs).alias("enough"))
-    return counted.select(F.inline("_rows"), "enough")
+    return counted.select(F.inline_outer("_rows"), "enough")
 
 
 def top_correlations(matrix: DataFrame, min_abs: float = 0.3, n: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import calendar as cal
 from ..functions.numeric import count_if
 from .quantiles import exact_quantiles
-from .scale import one_row
+from .scale import one_row, report_rows
 
 
 def box_stats(
@@ -45,7 +45,7 @@ def box_stats(
                 count_if(~inside).alias("outliers"),
             )
         )
-    return df.agg(F.array(*structs).alias("_rows")).select(F.inline("_rows")).where("n > 0")
+    return report_rows(df, structs).where("n > 0")
 
 
 def equal_bins(value: Column, low: Column, high: Column, bins: int) -> Column:

@@ -50,6 +50,12 @@ def one_row(stats: DataFrame) -> Column:
     return stats.select(F.struct(*[F.col(f"`{c}`") for c in stats.columns])).scalar()
 
 
+def report_rows(df: DataFrame, rows: Sequence[Column]) -> DataFrame:
+    """One output row per struct of aggregates, all from a single aggregate over ``df``."""
+    # The outer form keeps the optimizer from testing the size of the whole array expression.
+    return df.agg(F.array(*rows).alias("_rows")).select(F.inline_outer("_rows"))
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint if at most ``max_rows`` rows are there (runs a bounded count)."""
     if df.limit(max_rows + 1).count() <= max_rows:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..defaults import ORDER
 from .aggregate import daily_mean
-from .scale import last_n, recency
+from .scale import last_n, recency, report_rows
 from .series import latest_per_site
 
 
@@ -53,7 +53,7 @@ def rank_columns(df: DataFrame, columns: Sequence[str], n: int = 12) -> DataFram
         )
         for c in columns
     ]
-    report = df.agg(F.array(*structs).alias("_rows")).select(F.inline("_rows"))
+    report = report_rows(df, structs)
     return report.orderBy(F.desc("non_null"), F.desc("variance"), "column").limit(n)
 
 

@@ -82,12 +82,14 @@ def enrich(
 ) -> DataFrame:
     """Coerce, join weather, cap, impute, score and date the readings; every step can be left out.
 
+    Text columns become numbers where at least half of their values are.
+
     Weather that shares no date range with the readings is replaced by the
     usual values of each month (``fill_weather``).
     """
-    df = coerce_numeric(readings)
+    df = coerce_numeric(readings, min_parse_share=0.5)
     if weather is not None:
-        daily = weather_daily(coerce_numeric(weather))
+        daily = weather_daily(coerce_numeric(weather, min_parse_share=0.5))
         if fill_weather:
             daily = _cover(df, daily, order[0])
         df = join_daily(df, prefix_weather(daily), order[0])

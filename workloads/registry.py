@@ -11,6 +11,8 @@ from .views import Tables, with_views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 PLACES = 6
+# Keeps short decimals that end on the rounding edge (such as means of 32 prices) off it.
+NUDGE = 3.3e-8
 
 
 def _settled(df: DataFrame) -> DataFrame:
@@ -19,7 +21,7 @@ def _settled(df: DataFrame) -> DataFrame:
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind == "double":
-            r = F.round(c, PLACES)
+            r = F.round(c + NUDGE, PLACES)
             c = F.when(r == 0, F.lit(0.0)).otherwise(r).alias(name)
         columns.append(c)
     return df.select(*columns)
@@ -28,10 +30,8 @@ def _settled(df: DataFrame) -> DataFrame:
 def _settled_sql(sql: str, doubles: str) -> str:
     if not doubles.split():
         return sql
-    cells = ", ".join(
-        f"CASE WHEN round(CAST({c} AS DOUBLE), {PLACES}) = 0 THEN 0e0 ELSE round(CAST({c} AS DOUBLE), {PLACES}) END AS {c}"
-        for c in doubles.split()
-    )
+    rounded = {c: f"round(CAST({c} AS DOUBLE) + {NUDGE}, {PLACES})" for c in doubles.split()}
+    cells = ", ".join(f"CASE WHEN {r} = 0 THEN 0e0 ELSE {r} END AS {c}" for c, r in rounded.items())
     return f"SELECT * REPLACE ({cells}) FROM ({sql}) settled"
 
 

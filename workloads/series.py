@@ -111,7 +111,7 @@ def lag_features(t):
 @query(
     "WITH k AS (SELECT * FROM readings WHERE ph IS NOT NULL), "
     f"s AS (SELECT record_number, ph, list(ph) OVER ({W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS q FROM k) "
-    "SELECT record_number, ph AS next_value, array_to_string(list_transform(q, x -> CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR)), ',') AS sequence FROM s WHERE len(q) = 10",
+    "SELECT record_number, ph AS next_value, array_to_string(list_transform(q, lambda x: CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR)), ',') AS sequence FROM s WHERE len(q) = 10",
     "next_value",
 )
 def sequences(t):
