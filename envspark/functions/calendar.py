@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 from ..defaults import MONTHS, WEEKDAYS
@@ -16,12 +18,17 @@ def weekday_number(ts: Column) -> Column:
     return F.weekday(ts)
 
 
+def _name(names: Sequence[str], place: Column) -> Column:
+    """Name at a 1-based place; the guard is needed because element_at of a literal array ignores a NULL place."""
+    return F.when(place.isNotNull(), F.element_at(F.array(*map(F.lit, names)), place))
+
+
 def weekday_name(ts: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.weekday(ts) + 1)
+    return _name(WEEKDAYS, F.weekday(ts) + 1)
 
 
 def month_label(month: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, MONTHS)), month)
+    return _name(MONTHS, month)
 
 
 def is_weekend(ts: Column) -> Column:
@@ -30,8 +37,7 @@ def is_weekend(ts: Column) -> Column:
 
 def season(month: Column, autumn: str = "Autumn") -> Column:
     """Northern-hemisphere season; December opens winter. NULL stays NULL."""
-    names = F.array(*map(F.lit, ("Winter", "Spring", "Summer", autumn)))
-    return F.element_at(names, (F.pmod(month, F.lit(12)) / 3).cast("int") + 1)
+    return _name(("Winter", "Spring", "Summer", autumn), (F.pmod(month, F.lit(12)) / 3).cast("int") + 1)
 
 
 def month_period(ts: Column) -> Column:

@@ -49,9 +49,7 @@ def parse_metrics(records: DataFrame, value: str = "value") -> DataFrame:
 def scan_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Read every ``*_metrics.txt`` below ``path``."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*_metrics.txt")
-        .text(path)
+        spark.read.text(path, wholetext=True, pathGlobFilter="*_metrics.txt")
         .withColumn("model", F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1))
     )
     return parse_metrics(files)
