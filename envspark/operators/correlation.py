@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..defaults import ORDER
 from ..functions.numeric import count_if
-from .scale import BROADCAST_ROWS, report_rows, running_totals, written
+from .scale import BROADCAST_ROWS, bounded_broadcast, report_rows, running_totals, written
 
 
 def _pair_moments(x: Column, y: Column) -> tuple[Column, Column]:
@@ -46,28 +46,28 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _mirrored(_upper(df, columns, lambda i, j: (F.col(columns[i]), F.col(columns[j]))))
 
 
+def _entries(columns: Sequence[str]) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+
+
 def _partner_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Average rank of every distinct value of every column, within the rows where each partner is known.
 
-    One row per (column number, value) with an array of ranks by partner. Equal
-    values are counted before the shuffle, so a value that fills most of a
-    column costs one row per task.
+    One row per (column number, value) with counts ``n0…`` and an array of
+    ranks by partner. Equal values are counted before the shuffle, so a value
+    that fills most of a column costs one row per task.
     """
-    known = [F.col(c).isNotNull().cast("bigint") for c in columns]
-    entries = F.array(
-        *[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]
-    )
     counters = [f"n{j}" for j in range(len(columns))]
+    known = [F.col(c).isNotNull().cast("bigint").alias(n) for c, n in zip(columns, counters)]
     counts = (
-        df.select(*[k.alias(n) for k, n in zip(known, counters)], F.explode(entries).alias("e"))
+        df.select(*known, F.explode(_entries(columns)).alias("e"))
         .where("e.v IS NOT NULL")
         .groupBy("e.c", "e.v")
         .agg(*[F.sum(n).alias(n) for n in counters], F.count(F.lit(1)).alias("total"))
     )
     ranked = running_totals(counts, "c", "v", counters)
-    return ranked.select(
-        "c", "v", "total", F.array(*[F.col(f"{n}_before") + (F.col(n) + 1) / 2 for n in counters]).alias("ranks")
-    )
+    ranks = F.array(*[F.col(f"{n}_before") + (F.col(n) + 1) / 2 for n in counters])
+    return ranked.select("c", "v", "total", *counters, ranks.alias("ranks"))
 
 
 def spearman(
@@ -79,34 +79,70 @@ def spearman(
 ) -> DataFrame:
     """Spearman matrix with average ranks; every pair ranks the rows where both are known.
 
-    Ranks are computed per distinct value and joined back to the rows: by
-    broadcast if the written rank table is small, otherwise by a shuffle in
-    which the few values filling more than ``hot_rows`` rows are joined apart.
-    Runs one write and one count.
+    Ranks are computed per distinct value. Their spread follows from the rank
+    table alone, so the rows only add up one product per pair. Ranks reach the
+    rows by broadcast if the written rank table is small, otherwise by a
+    shuffle in which the few values filling more than ``hot_rows`` rows are
+    joined apart; only then must ``order`` be a unique key. Runs one write and
+    one small aggregate.
     """
     slim = df.select(*order, *columns)
     ranks = written(_partner_ranks(slim, columns), "ranks")
-    small = ranks.count() <= broadcast_rows
-    if small:
+    width = range(len(columns))
+    moments = ranks.groupBy("c").agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.sum(f"n{j}").alias(f"n{j}") for j in width],
+        *[count_if(F.col(f"n{j}") > 0).alias(f"d{j}") for j in width],
+        # Sum of squared distances of the ranks from their mean (n + 1) / 2.
+        *[
+            (
+                F.sum(F.col(f"n{j}") * F.get("ranks", F.lit(j)) * F.get("ranks", F.lit(j)))
+                - F.sum(f"n{j}") * F.pow((F.sum(f"n{j}") + 1) / 2.0, F.lit(2))
+            ).alias(f"s{j}")
+            for j in width
+        ],
+    )
+    # One row per column.
+    facts = {r["c"]: r for r in moments.collect()}
+    if sum(r["rows"] for r in facts.values()) <= broadcast_rows:
         wide = slim
-        for i, c in enumerate(columns):
+        for i in width:
             side = ranks.where(F.col("c") == i).select(F.col("v").alias(f"_v{i}"), F.col("ranks").alias(f"_r{i}"))
-            wide = wide.join(F.broadcast(side), wide[c].cast("double") == F.col(f"_v{i}"), "left").drop(f"_v{i}")
+            wide = wide.join(
+                F.broadcast(side), F.col(columns[i]).cast("double") == F.col(f"_v{i}"), "left"
+            ).drop(f"_v{i}")
     else:
         wide = _ranks_by_shuffle(slim, ranks, columns, order, hot_rows)
-    return _mirrored(
-        _upper(wide, columns, lambda i, j: (F.get(f"_r{i}", F.lit(j)), F.get(f"_r{j}", F.lit(i))))
-        # A column paired with itself: same ranks on both sides.
-    )
+    structs = []
+    for i in width:
+        for j in range(i, len(columns)):
+            n = facts[i][f"n{j}"] if i in facts else 0
+            # A side with a single distinct value has no correlation.
+            varies = i in facts and j in facts and facts[i][f"d{j}"] > 1 and facts[j][f"d{i}"] > 1
+            spread = math.sqrt(facts[i][f"s{j}"]) * math.sqrt(facts[j][f"s{i}"]) if varies else 0.0
+            if not varies:
+                coefficient = F.lit(None).cast("double")
+            elif i == j:
+                coefficient = F.lit(1.0)
+            else:
+                middle = (n + 1) / 2
+                products = F.sum((F.get(f"_r{i}", F.lit(j)) - middle) * (F.get(f"_r{j}", F.lit(i)) - middle))
+                coefficient = products / spread
+            structs.append(
+                F.struct(
+                    F.lit(columns[i]).alias("param_1"),
+                    F.lit(columns[j]).alias("param_2"),
+                    F.lit(n).cast("bigint").alias("n"),
+                    coefficient.alias("corr"),
+                )
+            )
+    return _mirrored(report_rows(wide, structs))
 
 
 def _ranks_by_shuffle(slim, ranks, columns, order, hot_rows):
-    entries = F.array(
-        *[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]
-    )
-    cells = slim.select(*order, F.explode(entries).alias("e")).select(*order, "e.c", "e.v").where("v IS NOT NULL")
+    cells = slim.select(*order, F.explode(_entries(columns)).alias("e")).select(*order, "e.c", "e.v").where("v IS NOT NULL")
     # A value can only be hot if it fills ``hot_rows`` rows, so at most rows / hot_rows values per column are.
-    hot = F.broadcast(ranks.where(F.col("total") > hot_rows).select("c", "v", F.col("ranks").alias("hot_ranks")))
+    hot = bounded_broadcast(ranks.where(F.col("total") > hot_rows).select("c", "v", F.col("ranks").alias("hot_ranks")))
     marked = cells.join(hot, ["c", "v"], "left")
     direct = marked.where("hot_ranks IS NOT NULL").select(*order, "c", F.col("hot_ranks").alias("ranks"))
     rest = (

@@ -1,10 +1,10 @@
 """Exact quantiles and order statistics with bounded memory per task.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer, and
-``percentile_approx`` is not exact. Here a sketch brackets the wanted rank, the
-bracket is checked by counting, and only when few enough values lie inside it
-does ``percentile`` run on those. Every step is one aggregate over the table
-that returns one row; nothing is sorted or shuffled.
+sketches are not exact. Here a sketch proposes a bracket around the wanted rank,
+counting proves it, and only when few enough values lie inside it does
+``percentile`` run on those. Every step is one aggregate over the table that
+returns one row; nothing is sorted or shuffled.
 """
 
 from __future__ import annotations
@@ -18,27 +18,30 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..defaults import ORDER
 from ..functions.calendar import micros
 from ..functions.numeric import count_if
-from .scale import one_row
 
 # Values that one exact ``percentile`` buffer may hold.
-EXACT_VALUES = 500_000
-_SKETCH = 5_000
+EXACT_VALUES = 20_000
+# Sketch size, and the rank distance kept between the wanted rank and a bracket end.
+# A sketch of this size is off by about 0.002 in rank; counting catches the rest.
+SKETCH_SIZE = 2_048
+SLACK = 0.004
 
 
 @dataclass
 class _Search:
-    """One wanted rank: position ``rank`` (may be fractional) among non-null values."""
+    """One wanted rank among the non-null values of a column; ``rank`` may be fractional."""
 
     column: Column
+    whole: bool
     rank: float
     low: float
     high: float
-    below: int
     inside: int
-    distinct: int
     total: int
+    below: int = 0
+    distinct: float = math.inf
     answer: float | None = None
-    slack: float = 2.0 / _SKETCH
+    slack: float = SLACK
 
     @property
     def first(self) -> int:
@@ -46,98 +49,100 @@ class _Search:
 
     @property
     def second(self) -> int:
-        return min(self.first + 1, self.total - 1) if self.rank > self.first else self.first
-
-    def within(self, below: int, inside: int) -> bool:
-        return below <= self.first and self.second < below + inside
+        return min(math.ceil(self.rank), self.total - 1)
 
     def values(self, low=None, high=None) -> Column:
-        low = self.low if low is None else low
-        high = self.high if high is None else high
-        return F.when(self.column.between(low, high), self.column)
+        if low is None and self.inside == self.total:
+            return self.column
+        low, high = (self.low, self.high) if low is None else (low, high)
+        return F.when(self.column.between(F.lit(low), F.lit(high)), self.column)
 
     def ready(self, limit: int) -> bool:
-        return self.answer is not None or self.inside <= limit or self.distinct <= limit
+        return self.answer is not None or min(self.inside, self.distinct) <= limit
+
+    def reach(self) -> tuple[float, float]:
+        """Ranks, relative to the bracket, that the next bracket should span."""
+        return (
+            max(0.0, (self.first - self.below) / self.inside - self.slack),
+            min(1.0, (self.second + 1 - self.below) / self.inside + self.slack),
+        )
+
+    def accept(self, low, high, below, inside, distinct, last, following) -> None:
+        """Use the counts of a proposed bracket."""
+        if below <= self.first and self.second < below + inside:
+            if inside == self.inside:
+                self.slack = 1.0
+            self.low, self.high, self.below, self.inside, self.distinct = low, high, below, inside, distinct
+            if low == high:
+                self.answer = low
+        elif self.slack < 1.0:
+            self.slack = min(1.0, self.slack * 8)
+        elif self.first == below + inside - 1:
+            # The two neighbouring ranks lie on both sides of the middle.
+            self.answer = last + (following - last) * (self.rank - self.first)
+        else:
+            # The lower half was proposed, so the rank lies above it.
+            self.inside -= below + inside - self.below
+            self.low, self.below, self.distinct = following, below + inside, math.inf
 
 
 def _first_row(df: DataFrame, columns: Sequence[Column]):
     return df.agg(*[c.alias(f"_{i}") for i, c in enumerate(columns)]).first()
 
 
-def _start(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[float] | None, int | None]]):
-    """Count, minimum and maximum of each column in one pass."""
-    names = list(wanted)
-    row = _first_row(
-        df, [f(wanted[n][0]) for n in names for f in (F.count, F.min, F.max)]
+def _sketch(values: Column, ranks: Sequence[float], whole: bool) -> Column:
+    """Approximate values at the given ranks, from one sketch."""
+    build, read = (
+        (F.kll_sketch_agg_bigint, F.kll_sketch_get_quantile_bigint)
+        if whole
+        else (F.kll_sketch_agg_double, F.kll_sketch_get_quantile_double)
     )
-    searches: dict[str, list[_Search]] = {}
-    for i, name in enumerate(names):
-        column, probabilities, position = wanted[name]
-        total, low, high = row[3 * i : 3 * i + 3]
-        if total == 0:
-            searches[name] = []
-            continue
-        ranks = [p * (total - 1) for p in probabilities] if position is None else [position]
-        answer = low if low == high else None
-        searches[name] = [_Search(column, r, low, high, 0, total, total, total, answer) for r in ranks]
-    return searches
-
-
-def _narrow(df: DataFrame, open_searches: list[_Search], limit: int) -> None:
-    """One refinement: sketch the bracket, then accept it only if the counts prove it."""
-    sketches = []
-    for s in open_searches:
-        left = max(0.0, (s.first - s.below) / s.inside - s.slack)
-        right = min(1.0, (s.second + 1 - s.below) / s.inside + s.slack)
-        sketches.append(F.percentile_approx(s.values(), F.array(F.lit(left), F.lit(right)), F.lit(_SKETCH)))
-    proposals = _first_row(df, sketches)
-    brackets = []
-    for s, (low, high) in zip(open_searches, proposals):
-        if s.slack >= 1.0:
-            half = (s.high - s.low) // 2 if isinstance(s.high, int) else s.high / 2 - s.low / 2
-            low, high = s.low, s.low + half
-        brackets.append((low, high))
-    counts = _first_row(
-        df,
-        [
-            c
-            for s, (low, high) in zip(open_searches, brackets)
-            for c in (
-                count_if(s.column < F.lit(low)),
-                F.count(s.values(low, high)),
-                F.approx_count_distinct(s.values(low, high)),
-                F.max(F.when(s.column <= F.lit(high), s.column)),
-                F.min(F.when(s.column > F.lit(high), s.column)),
-            )
-        ],
-    )
-    for i, (s, (low, high)) in enumerate(zip(open_searches, brackets)):
+    found = read(build(values, SKETCH_SIZE), F.array(*[F.lit(float(r)) for r in ranks]))
+    # An empty sketch cannot be read.
+    return F.when(F.count(values) > 0, found)
+
+
+def _half(s: _Search):
+    half = (s.high - s.low) // 2 if s.whole else s.high / 2 - s.low / 2
+    return s.low, s.low + half
+
+
+def _narrow(df: DataFrame, searches: list[_Search], limit: int, brackets: list | None) -> None:
+    """One refinement: propose a bracket per search, then use it only as far as the counts prove it."""
+    if brackets is None:
+        by_sketch = [s for s in searches if s.slack < 1.0]
+        proposals = {}
+        if by_sketch:
+            row = _first_row(df, [_sketch(s.values(), s.reach(), s.whole) for s in by_sketch])
+            proposals = {id(s): p for s, p in zip(by_sketch, row)}
+        brackets = [proposals[id(s)] if id(s) in proposals else _half(s) for s in searches]
+    checks = []
+    for s, (low, high) in zip(searches, brackets):
+        candidates = s.values(low, high)
+        # Distinct values matter only if the bracket may still hold too many rows.
+        many = s.inside * (s.slack * 4) > limit
+        checks += [
+            count_if(s.column < F.lit(low)),
+            F.count(candidates),
+            F.approx_count_distinct(candidates) if many else F.lit(None),
+            # The values next to the bracket's end are needed only when halving.
+            F.max(F.when(s.column <= F.lit(high), s.column)) if s.slack >= 1.0 else F.lit(None),
+            F.min(F.when(s.column > F.lit(high), s.column)) if s.slack >= 1.0 else F.lit(None),
+        ]
+    counts = _first_row(df, checks)
+    for i, (s, (low, high)) in enumerate(zip(searches, brackets)):
         below, inside, distinct, last, following = counts[5 * i : 5 * i + 5]
-        if s.within(below, inside):
-            shrank = inside < s.inside
-            s.low, s.high, s.below, s.inside, s.distinct = low, high, below, inside, distinct
-            if low == high:
-                s.answer = low
-            elif not shrank:
-                s.slack = 1.0
-        elif s.first == below + inside - 1:
-            # The two neighbouring ranks straddle the bracket's upper end.
-            s.answer = last + (following - last) * (s.rank - s.first)
-        elif s.slack >= 1.0:
-            # Bisection: the rank lies in the upper half.
-            s.inside = s.below + s.inside - (below + inside)
-            s.low, s.below = following, below + inside
-            s.distinct = s.inside
-        else:
-            s.slack = min(1.0, s.slack * 8)
+        s.accept(low, high, below, inside, math.inf if distinct is None else distinct, last, following)
 
 
-def _search(df: DataFrame, searches: list[_Search], limit: int) -> None:
-    while True:
-        open_searches = [s for s in searches if not s.ready(limit)]
-        if not open_searches:
-            return
-        _narrow(df, open_searches, limit)
+def _search(df: DataFrame, searches: list[_Search], limit: int, proposed: dict[int, tuple] | None = None) -> None:
+    waiting = [s for s in searches if not s.ready(limit)]
+    if waiting and proposed:
+        _narrow(df, waiting, limit, [proposed[id(s)] for s in waiting])
+        waiting = [s for s in waiting if not s.ready(limit)]
+    while waiting:
+        _narrow(df, waiting, limit, None)
+        waiting = [s for s in waiting if not s.ready(limit)]
 
 
 def exact_quantiles(
@@ -153,11 +158,29 @@ def exact_quantiles(
     """
     if not isinstance(columns, Mapping):
         columns = {c: F.col(c) for c in columns}
-    wanted = {n: (c.cast("double"), probabilities, None) for n, c in columns.items()}
-    searches = _start(df, wanted)
-    flat = [s for group in searches.values() for s in group]
-    _search(df, flat, limit)
-    # Searches that still share a bracket share one ``percentile`` buffer.
+    columns = {n: c.cast("double") for n, c in columns.items()}
+    ends = [(max(0.0, p - SLACK), min(1.0, p + SLACK)) for p in probabilities]
+    flat_ends = [r for pair in ends for r in pair]
+    # One pass finds how many values there are and where the ranks roughly lie.
+    start = _first_row(
+        df,
+        [
+            e
+            for c in columns.values()
+            for e in (F.count(c), F.min(c), F.max(c), _sketch(c, flat_ends, whole=False))
+        ],
+    )
+    searches: dict[str, list[_Search]] = {}
+    proposed: dict[int, tuple] = {}
+    for i, (name, c) in enumerate(columns.items()):
+        total, low, high, sketch = start[4 * i : 4 * i + 4]
+        searches[name] = []
+        for j, p in enumerate(probabilities if total else ()):
+            s = _Search(c, False, p * (total - 1), low, high, total, total, answer=low if low == high else None)
+            proposed[id(s)] = (sketch[2 * j], sketch[2 * j + 1])
+            searches[name].append(s)
+    _search(df, [s for group in searches.values() for s in group], limit, proposed)
+    # Searches that share a bracket share one ``percentile`` buffer.
     groups: dict[tuple, list[_Search]] = {}
     for name, group in searches.items():
         for s in group:
@@ -166,12 +189,8 @@ def exact_quantiles(
     if groups:
         finals = []
         for members in groups.values():
-            s = members[0]
             spots = [(m.rank - m.below) / (m.inside - 1) if m.inside > 1 else 0.0 for m in members]
-            whole = s.inside == s.total
-            finals.append(
-                F.percentile(s.column if whole else s.values(), F.array(*[F.lit(min(1.0, x)) for x in spots]))
-            )
+            finals.append(F.percentile(members[0].values(), F.array(*[F.lit(min(1.0, x)) for x in spots])))
         for members, results in zip(groups.values(), _first_row(df, finals)):
             for s, value in zip(members, results):
                 s.answer = value
@@ -180,8 +199,8 @@ def exact_quantiles(
 
 def kth_value(df: DataFrame, column: Column, k: int, limit: int = EXACT_VALUES) -> tuple[int, int]:
     """The value at 0-based rank ``k`` of a bigint column, and how many rows lie below it (runs actions)."""
-    (searches,) = _start(df, {"k": (column, None, k)}).values()
-    s = searches[0]
+    total, low, high = _first_row(df, [F.count(column), F.min(column), F.max(column)])
+    s = _Search(column, True, k, low, high, total, total, answer=low if low == high else None)
     _search(df, [s], limit)
     if s.answer is not None:
         return int(s.answer), df.agg(count_if(column < F.lit(s.answer))).first()[0]
@@ -208,10 +227,3 @@ def first_rows(df: DataFrame, n: int, order: Sequence[str] = ORDER, limit: int =
     last_tie, _ = kth_value(at, F.col(tie).cast("bigint"), n - 1 - below, limit)
     edge = F.timestamp_add("MICROSECOND", F.lit(instant), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     return (F.col(ts) < edge) | ((F.col(ts) == edge) & (F.col(tie) <= F.lit(last_tie)))
-
-
-def bounds_row(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Minimum and maximum of each column as a struct, by scalar subquery."""
-    return one_row(
-        df.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
-    )

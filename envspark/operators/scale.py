@@ -68,13 +68,18 @@ def _range_partitions(df: DataFrame) -> int:
 
 
 def with_position(
-    df: DataFrame, order: Sequence[str] = ORDER, name: str = "position", partitions: int | None = None
+    df: DataFrame,
+    order: Sequence[str] = ORDER,
+    name: str = "position",
+    partitions: int | None = None,
+    block: str | None = None,
 ) -> DataFrame:
     """Number all rows from 0 along ``order``, which must be a unique key.
 
     One range shuffle puts the rows in order; each row's place inside its
     partition is written with it, so only one count per partition is needed to
-    turn places into global positions. Runs one write.
+    turn places into global positions. ``block`` names a column for the number
+    of the range partition. Runs one write.
     """
     keys = [F.col(c).asc_nulls_first() for c in order]
     placed = written(
@@ -95,7 +100,11 @@ def with_position(
     return (
         placed.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
-        .select(*df.columns, (F.col("_offset") + slot).alias(name))
+        .select(
+            *df.columns,
+            (F.col("_offset") + slot).alias(name),
+            *([F.col("_part").alias(block)] if block else []),
+        )
     )
 
 
@@ -141,41 +150,41 @@ def carried(
     columns: Sequence[str],
     order: Sequence[str] = ORDER,
     site: str | None = None,
-    block_rows: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Adds ``<c>_prev`` and ``<c>_next``: nearest non-null value at or before / after each row.
 
-    Inside a block a window finds it; across blocks the last and first known
-    value of each block (one row per block and site) are carried along.
+    Each range partition of the ordered table is one block. Inside a block a
+    window finds the value; across blocks the last and first known value of
+    each block (one row per block and site) are carried along. Both directions
+    use growing frames, so every window costs one pass.
     """
-    block_rows = block_rows or BLOCK_ROWS
     sites = [site] if site else []
     keys = ["_block", *sites]
-    rows = with_position(df, [*sites, *order]).withColumn("_block", F.floor(F.col("position") / block_rows))
+    rows = with_position(df, [*sites, *order], partitions=partitions, block="_block")
     edges = rows.groupBy(*keys).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("position"))).alias(f"_last_{c}") for c in columns],
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("position"))).alias(f"_first_{c}") for c in columns],
     )
-    along = Window.partitionBy(*sites).orderBy("_block")
-    back = along.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = along.rowsBetween(1, Window.unboundedFollowing)
+    # One row per range partition and site.
+    forth = Window.partitionBy(*sites).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*sites).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.select(
         *keys,
-        *[F.last(f"_last_{c}", ignorenulls=True).over(back).alias(f"_back_{c}") for c in columns],
-        *[F.first(f"_first_{c}", ignorenulls=True).over(ahead).alias(f"_ahead_{c}") for c in columns],
+        *[F.last(f"_last_{c}", ignorenulls=True).over(forth).alias(f"_before_{c}") for c in columns],
+        *[F.last(f"_first_{c}", ignorenulls=True).over(back).alias(f"_after_{c}") for c in columns],
     )
-    block = Window.partitionBy(*keys).orderBy("position")
-    upto = block.rowsBetween(Window.unboundedPreceding, 0)
-    onward = block.rowsBetween(0, Window.unboundedFollowing)
+    upto = Window.partitionBy(*keys).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    onward = Window.partitionBy(*keys).orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, 0)
     filled = rows.select(
         "*",
         *[F.last(c, ignorenulls=True).over(upto).alias(f"_in_prev_{c}") for c in columns],
-        *[F.first(c, ignorenulls=True).over(onward).alias(f"_in_next_{c}") for c in columns],
+        *[F.last(c, ignorenulls=True).over(onward).alias(f"_in_next_{c}") for c in columns],
     )
     return filled.join(edges, keys).select(
         *df.columns,
-        *[F.coalesce(f"_in_prev_{c}", f"_back_{c}").alias(f"{c}_prev") for c in columns],
-        *[F.coalesce(f"_in_next_{c}", f"_ahead_{c}").alias(f"{c}_next") for c in columns],
+        *[F.coalesce(f"_in_prev_{c}", f"_before_{c}").alias(f"{c}_prev") for c in columns],
+        *[F.coalesce(f"_in_next_{c}", f"_after_{c}").alias(f"{c}_next") for c in columns],
     )
 
 

@@ -105,18 +105,25 @@ def _daily_window(site: str | None):
     return Window.partitionBy(*([site] if site else [])).orderBy("day")
 
 
+def _growing(site: str | None):
+    """Frames from either end of the daily series up to the current day."""
+    sites = [site] if site else []
+    return tuple(
+        Window.partitionBy(*sites).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+        for key in (F.asc("day"), F.desc("day"))
+    )
+
+
 def interpolate_daily(daily: DataFrame, column: str, site: str | None = None) -> DataFrame:
     """Linear between known days; nothing before the first, the last known value after the last."""
-    w = _daily_window(site)
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = _growing(site)
     known_day = F.when(F.col(column).isNotNull(), F.col("day"))
     around = daily.select(
         "*",
         F.last(column, ignorenulls=True).over(back).alias("_y0"),
         F.last(known_day, ignorenulls=True).over(back).alias("_d0"),
-        F.first(column, ignorenulls=True).over(ahead).alias("_y1"),
-        F.first(known_day, ignorenulls=True).over(ahead).alias("_d1"),
+        F.last(column, ignorenulls=True).over(ahead).alias("_y1"),
+        F.last(known_day, ignorenulls=True).over(ahead).alias("_d1"),
     )
     step = F.datediff("day", "_d0") / F.nullif(F.datediff("_d1", "_d0"), F.lit(0))
     value = (
@@ -154,8 +161,9 @@ def decompose(df: DataFrame, column: str, period: int = 7, site: str | None = No
     """
     w = _daily_window(site)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    previous = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back, ahead = _growing(site)
+    previous = F.last(column, ignorenulls=True).over(back)
+    following = F.last(column, ignorenulls=True).over(ahead)
     observed = daily_mean(df, [column], site=site).select(
         "*",
         F.coalesce(previous, following).alias("observed"),

@@ -62,20 +62,20 @@ def test_rolling_per_site_does_not_mix_sites(series):
     np.testing.assert_allclose(np.array(column(got, "rolling_mean"), dtype=float), want.to_numpy())
 
 
-@pytest.mark.parametrize("block_rows", [3, 10, 1000])
-def test_carry_crosses_empty_blocks(series, block_rows):
+@pytest.mark.parametrize("partitions", [1, 6, 40])
+def test_carry_crosses_empty_blocks(series, partitions):
     values = [None] * 5 + [1.0] + [None] * 40 + [2.0, 3.0] + [None] * 20
-    got = scale.carried(shuffled(series(values)), ["v"], block_rows=block_rows)
+    got = scale.carried(shuffled(series(values)), ["v"], partitions=partitions)
     s = pd.Series(values, dtype=float)
     np.testing.assert_array_equal(np.array(column(got, "v_prev"), dtype=float), s.ffill().to_numpy())
     np.testing.assert_array_equal(np.array(column(got, "v_next"), dtype=float), s.bfill().to_numpy())
 
 
-@pytest.mark.parametrize("block_rows", [4, 50])
-def test_carry_per_site(series, block_rows):
+@pytest.mark.parametrize("partitions", [1, 16])
+def test_carry_per_site(series, partitions):
     sites = ["a", "b", "b", "c"] * 15
     values = [None if i % 4 in (0, 1) and i < 40 else float(i) for i in range(60)]
-    got = scale.carried(series(values, site=sites), ["v"], site="site", block_rows=block_rows)
+    got = scale.carried(series(values, site=sites), ["v"], site="site", partitions=partitions)
     frame = pd.DataFrame({"s": sites, "v": pd.Series(values, dtype=float)})
     np.testing.assert_array_equal(np.array(column(got, "v_prev"), dtype=float), frame.groupby("s")["v"].ffill().to_numpy())
     np.testing.assert_array_equal(np.array(column(got, "v_next"), dtype=float), frame.groupby("s")["v"].bfill().to_numpy())

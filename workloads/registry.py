@@ -21,7 +21,7 @@ def _settled(df: DataFrame) -> DataFrame:
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind == "double":
-            r = F.round(c + NUDGE, PLACES)
+            r = F.rint((c + NUDGE) * 10.0**PLACES) / 10.0**PLACES
             c = F.when(r == 0, F.lit(0.0)).otherwise(r).alias(name)
         columns.append(c)
     return df.select(*columns)
@@ -30,7 +30,8 @@ def _settled(df: DataFrame) -> DataFrame:
 def _settled_sql(sql: str, doubles: str) -> str:
     if not doubles.split():
         return sql
-    rounded = {c: f"round(CAST({c} AS DOUBLE) + {NUDGE}, {PLACES})" for c in doubles.split()}
+    unit = f"1e{PLACES}"
+    rounded = {c: f"round((CAST({c} AS DOUBLE) + {NUDGE}) * {unit}) / {unit}" for c in doubles.split()}
     cells = ", ".join(f"CASE WHEN {r} = 0 THEN 0e0 ELSE {r} END AS {c}" for c, r in rounded.items())
     return f"SELECT * REPLACE ({cells}) FROM ({sql}) settled"
 
