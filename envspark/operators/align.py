@@ -11,7 +11,7 @@ from ..defaults import WEEKDAYS
 from ..functions import calendar as cal
 from ..functions.numeric import percent
 from ..functions.text import weather_name
-from .scale import bounded_broadcast, one_row
+from .scale import bounded_broadcast, one_row, written
 
 
 def weather_daily(
@@ -49,10 +49,12 @@ def prefix_weather(daily: DataFrame) -> DataFrame:
 def join_daily(readings: DataFrame, daily: DataFrame, timestamp: str = "timestamp") -> DataFrame:
     """Readings with their day's weather; every reading is kept.
 
-    The daily side has one row per date. It is broadcast after its row count is
-    checked, so a day that holds most readings does not gather in one task.
+    The daily side has one row per date. It is written once (an action) and
+    broadcast after its row count is checked, so a day that holds most readings
+    does not gather in one task and later passes do not aggregate it again.
     """
-    return readings.withColumn("date", cal.day(F.col(timestamp))).join(bounded_broadcast(daily), "date", "left")
+    days = bounded_broadcast(written(daily, "daily"))
+    return readings.withColumn("date", cal.day(F.col(timestamp))).join(days, "date", "left")
 
 
 def overlap(a: DataFrame, b: DataFrame, a_col: str = "timestamp", b_col: str = "date") -> DataFrame:

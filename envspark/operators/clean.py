@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..defaults import ORDER
-from ..functions import calendar as cal
-from ..functions.numeric import clip, count_if, parse_number
+from ..functions.numeric import clip, parse_number
 from ..sources.catalog import numeric_columns, text_columns
 from .quantiles import exact_quantiles
-from .scale import bounded_broadcast, carried, last_n, one_row
+from .scale import carried, last_n, one_row
 
 
 def coerce_numeric(
@@ -60,6 +59,23 @@ def cap_outliers(
     )
 
 
+def cap_and_fill(df: DataFrame, columns: Sequence[str] | None = None, tail: float = 0.001) -> DataFrame:
+    """Cap outliers at the quantiles ``tail`` and ``1 - tail``, then fill gaps with the median.
+
+    Capping both ends alike does not move the median, so one quantile search
+    serves both steps.
+    """
+    columns = list(columns or numeric_columns(df))
+    found = exact_quantiles(df, columns, (tail, 0.5, 1 - tail))
+    return df.withColumns(
+        {
+            c: F.coalesce(clip(F.col(c), F.lit(low), F.lit(high)), F.lit(middle))
+            for c, (low, middle, high) in found.items()
+            if middle is not None
+        }
+    )
+
+
 def impute(
     df: DataFrame,
     columns: Sequence[str] | None = None,

@@ -7,9 +7,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..defaults import ORDER
 from ..functions.numeric import count_if
-from .scale import BROADCAST_ROWS, bounded_broadcast, report_rows, running_totals, written
+from .scale import bounded_broadcast, report_rows, running_totals, written
+
+
+# A broadcast rank table may hold this many numbers (32 MB).
+BROADCAST_CELLS = 4_000_000
 
 
 def _pair_moments(x: Column, y: Column) -> tuple[Column, Column]:
@@ -73,8 +76,7 @@ def _partner_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def spearman(
     df: DataFrame,
     columns: Sequence[str],
-    order: Sequence[str] = ORDER,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_cells: int = BROADCAST_CELLS,
     hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Spearman matrix with average ranks; every pair ranks the rows where both are known.
@@ -83,10 +85,9 @@ def spearman(
     table alone, so the rows only add up one product per pair. Ranks reach the
     rows by broadcast if the written rank table is small, otherwise by a
     shuffle in which the few values filling more than ``hot_rows`` rows are
-    joined apart; only then must ``order`` be a unique key. Runs one write and
-    one small aggregate.
+    joined apart. Runs writes and one small aggregate.
     """
-    slim = df.select(*order, *columns)
+    slim = df.select(*columns)
     ranks = written(_partner_ranks(slim, columns), "ranks")
     width = range(len(columns))
     moments = ranks.groupBy("c").agg(
@@ -104,7 +105,7 @@ def spearman(
     )
     # One row per column.
     facts = {r["c"]: r for r in moments.collect()}
-    if sum(r["rows"] for r in facts.values()) <= broadcast_rows:
+    if sum(r["rows"] for r in facts.values()) * (len(columns) + 2) <= broadcast_cells:
         wide = slim
         for i in width:
             side = ranks.where(F.col("c") == i).select(F.col("v").alias(f"_v{i}"), F.col("ranks").alias(f"_r{i}"))
@@ -112,7 +113,7 @@ def spearman(
                 F.broadcast(side), F.col(columns[i]).cast("double") == F.col(f"_v{i}"), "left"
             ).drop(f"_v{i}")
     else:
-        wide = _ranks_by_shuffle(slim, ranks, columns, order, hot_rows)
+        wide = _ranks_by_shuffle(slim, ranks, columns, hot_rows)
     structs = []
     for i in width:
         for j in range(i, len(columns)):
@@ -139,31 +140,31 @@ def spearman(
     return _mirrored(report_rows(wide, structs))
 
 
-def _ranks_by_shuffle(slim, ranks, columns, order, hot_rows):
-    cells = slim.select(*order, F.explode(_entries(columns)).alias("e")).select(*order, "e.c", "e.v").where("v IS NOT NULL")
+def _ranks_by_shuffle(slim, ranks, columns, hot_rows):
+    # The row numbers are written with the rows, so a retried task cannot change them.
+    rows = written(slim.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    cells = rows.select("_row", F.explode(_entries(columns)).alias("e")).select("_row", "e.c", "e.v").where("v IS NOT NULL")
     # A value can only be hot if it fills ``hot_rows`` rows, so at most rows / hot_rows values per column are.
     hot = bounded_broadcast(ranks.where(F.col("total") > hot_rows).select("c", "v", F.col("ranks").alias("hot_ranks")))
     marked = cells.join(hot, ["c", "v"], "left")
-    direct = marked.where("hot_ranks IS NOT NULL").select(*order, "c", F.col("hot_ranks").alias("ranks"))
+    direct = marked.where("hot_ranks IS NOT NULL").select("_row", "c", F.col("hot_ranks").alias("ranks"))
     rest = (
         marked.where("hot_ranks IS NULL")
         .join(ranks.where(F.col("total") <= hot_rows).select("c", "v", "ranks"), ["c", "v"])
-        .select(*order, "c", "ranks")
+        .select("_row", "c", "ranks")
     )
     return (
         direct.unionByName(rest)
-        .groupBy(*order)
+        .groupBy("_row")
         .agg(*[F.max(F.when(F.col("c") == i, F.col("ranks"))).alias(f"_r{i}") for i in range(len(columns))])
     )
 
 
-def correlation(
-    df: DataFrame, columns: Sequence[str], method: str = "spearman", order: Sequence[str] = ORDER
-) -> DataFrame:
+def correlation(df: DataFrame, columns: Sequence[str], method: str = "spearman") -> DataFrame:
     if method == "pearson":
         return pearson(df, columns)
     if method == "spearman":
-        return spearman(df, columns, order)
+        return spearman(df, columns)
     raise ValueError(f"unknown correlation method: {method}")
 
 

@@ -79,23 +79,23 @@ def isolation_scores(
     The forest (at most ``trees * sample`` numbers) is collected; scoring runs
     in the tasks on Arrow batches.
     """
-    forest = [
-        (np.array(r["cuts"]), np.array(r["lengths"]), r["size"])
-        for r in grow_forest(df, column, trees, sample, seed, key).orderBy("tree").collect()
-    ]
+    forest = grow_forest(df, column, trees, sample, seed, key).orderBy("tree").collect()
     if not forest:
         return df.withColumn("score", F.lit(None).cast("double"))
-    normaliser = float(np.mean([expected_path(size) for _, _, size in forest])) or 1.0
+    # On one column a tree is a step function, so the whole forest is one as well.
+    edges = np.unique(np.concatenate([np.array(r["cuts"], dtype=float) for r in forest]))
+    starts = np.concatenate([[-np.inf], edges])
+    path = np.zeros(len(starts))
+    for r in forest:
+        path += np.array(r["lengths"])[np.searchsorted(np.array(r["cuts"], dtype=float), starts, side="right")]
+    normaliser = float(np.mean([expected_path(r["size"]) for r in forest])) or 1.0
+    levels = np.exp2(-(path / len(forest)) / normaliser)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for values in batches:
             x = values.to_numpy(dtype=float)
-            path = np.zeros(len(x))
-            for cuts, lengths, _ in forest:
-                path += lengths[np.searchsorted(cuts, x, side="right")]
-            scores = np.exp2(-(path / len(forest)) / normaliser)
-            yield pd.Series(np.where(np.isnan(x), np.nan, scores))
+            yield pd.Series(np.where(np.isnan(x), np.nan, levels[np.searchsorted(edges, x, side="right")]))
 
     return df.withColumn("score", F.when(F.col(column).isNotNull(), score(F.col(column).cast("double"))))
 

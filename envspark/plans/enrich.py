@@ -10,7 +10,7 @@ from ..defaults import ORDER, Parameter
 from ..functions import calendar as cal
 from ..functions.quality import CUTS, PARAMETERS, classify, combine, sub_index
 from ..operators.align import join_daily, overlap, prefix_weather, weather_daily
-from ..operators.clean import cap_outliers, climatology_fill, coerce_numeric, impute
+from ..operators.clean import cap_and_fill, cap_outliers, climatology_fill, coerce_numeric, impute
 from ..sources.catalog import numeric_columns
 
 
@@ -94,10 +94,11 @@ def enrich(
             daily = _cover(df, daily, order[0])
         df = join_daily(df, prefix_weather(daily), order[0])
     numbers = [c for c in numeric_columns(df) if c not in order]
-    if cap:
-        df = cap_outliers(df, numbers)
-    if impute_method:
-        df = impute(df, numbers, impute_method, order)
+    if cap and impute_method == "median":
+        df = cap_and_fill(df, numbers)
+    else:
+        df = cap_outliers(df, numbers) if cap else df
+        df = impute(df, numbers, impute_method, order) if impute_method else df
     df = wqi(df, wqi_method, null_policy=null_policy)
     return calendar_features(df, order[0], include_hour) if calendar else df
 

@@ -60,6 +60,16 @@ def test_cap_keeps_nulls_and_bounds(spark):
     assert tuple(got) == (10.0, 990.0, 1001, 0)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 300])
+def test_cap_and_fill_equals_both_steps(spark, n):
+    rng = np.random.default_rng(n)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(rng.normal(size=n) ** 3)] + [(n, None)], "i int, v double")
+    for tail in (0.001, 0.1):
+        a = values(clean.cap_and_fill(df, ["v"], tail), "v", "i")
+        b = values(clean.impute(clean.cap_outliers(df, ["v"], q=(tail, 1 - tail)), ["v"]), "v", "i")
+        np.testing.assert_allclose(a, b, atol=1e-12)
+
+
 def test_impute_methods(series):
     df = series([None, 1.0, None, 4.0, None])
     assert values(clean.impute(df, ["v"]), "v", "record_number") == [2.5, 1.0, 2.5, 4.0, 2.5]
@@ -271,7 +281,7 @@ def gappy(spark):
     return data, spark.createDataFrame(rows, "timestamp timestamp_ntz, record_number bigint, a double, b double, c double, d double")
 
 
-@pytest.mark.parametrize("settings", [{}, {"broadcast_rows": 0, "hot_rows": 20}, {"broadcast_rows": 0}])
+@pytest.mark.parametrize("settings", [{}, {"broadcast_cells": 0, "hot_rows": 20}, {"broadcast_cells": 0}])
 def test_spearman_equals_pandas(gappy, settings):
     data, df = gappy
     want = data.corr(method="spearman")

@@ -8,13 +8,13 @@ from envspark.functions import calendar as cal
 from envspark.functions.numeric import ratio
 from envspark.functions.text import component_name
 from envspark.operators.aggregate import class_distribution
-from envspark.operators.clean import cap_outliers, coerce_numeric, impute
+from envspark.operators.clean import cap_and_fill
 from envspark.plans.enrich import calendar_features as add_calendar, wqi
 
 from .align import _CALENDAR, _CAL_NAMES
 from .ingest import _clip_sql
 from .registry import query
-from .views import BIG_PARAMS, PARAMS, index_sql
+from .views import BIG_PARAMS, index_sql
 
 
 @query(f"SELECT record_number, {_CALENDAR} FROM readings")
@@ -147,5 +147,5 @@ def classify(t):
     "pct",
 )
 def cleaned_class_distribution(t):
-    cleaned = impute(cap_outliers(coerce_numeric(t.readings), PARAMS), PARAMS)
+    cleaned = cap_and_fill(t.readings.select(*BIG_PARAMS), BIG_PARAMS)
     return class_distribution(wqi(cleaned))
