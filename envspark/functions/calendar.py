@@ -46,7 +46,7 @@ def month_period(ts: Column) -> Column:
 
 def whole_days(start: Column, end: Column) -> Column:
     """Complete 24-hour periods between two timestamps."""
-    return F.timestamp_diff("DAY", start, end)
+    return F.floor((micros(end) - micros(start)) / 86_400_000_000)
 
 
 def ordinal(ts: Column) -> Column:
@@ -55,5 +55,7 @@ def ordinal(ts: Column) -> Column:
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds since 1970, for arithmetic on zone-free timestamps."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    """Microseconds since 1970 on the wall clock of a zone-free timestamp."""
+    days = F.datediff(day(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    seconds = (days * 24 + F.hour(ts)) * 3600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")

@@ -113,8 +113,18 @@ def kde(df: DataFrame, column: str, grid: int = 200, binned: bool = False, bins:
         )
     else:
         data = data.select(F.col(column).alias("_x"), F.lit(1.0).alias("_w"))
+    density = _densities(data.withColumn("_g", F.lit("")).withColumn("_s", scale), grid)
+    return density.drop("_g")
+
+
+def _densities(data: DataFrame, grid: int) -> DataFrame:
+    """Density per group ``_g`` from values ``_x``, weights ``_w`` and the group's scale struct ``_s``.
+
+    There are few groups; each task keeps one array of grid points per group.
+    """
     # Distance from the first grid point and grid step, in bandwidths.
-    points = data.withColumn("_s", scale).select(
+    points = data.select(
+        "_g",
         ((F.col("_x") - F.col("_s.lo")) / F.col("_s.h")).alias("u"),
         (F.col("_s.step") / F.col("_s.h")).alias("step"),
         F.col("_w").alias("w"),
@@ -122,17 +132,26 @@ def kde(df: DataFrame, column: str, grid: int = 200, binned: bool = False, bins:
 
     def heights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places = np.arange(grid)
-        total = np.zeros(grid)
+        totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            weights, step = batch["w"].to_numpy(), batch["step"].iloc[0]
-            u = batch["u"].to_numpy()
-            for at in places:
-                z = u - at * step
-                total[at] += weights @ np.exp(-0.5 * z * z)
-        yield pd.DataFrame({"point": places, "height": total})
-
-    sums = points.mapInPandas(heights, "point int, height double").groupBy("point").agg(F.sum("height").alias("_sum"))
-    return sums.withColumn("_s", scale).select(
+            for group, rows in batch.groupby("_g"):
+                total = totals.setdefault(group, np.zeros(grid))
+                u, weights, step = rows["u"].to_numpy(), rows["w"].to_numpy(), rows["step"].iloc[0]
+                for at in places:
+                    z = u - at * step
+                    total[at] += weights @ np.exp(-0.5 * z * z)
+        for group, total in totals.items():
+            yield pd.DataFrame({"_g": group, "point": places, "height": total})
+
+    scales = data.groupBy("_g").agg(F.any_value("_s").alias("_s"))
+    sums = (
+        points.select("_g", "u", "step", "w")
+        .mapInPandas(heights, "_g string, point int, height double")
+        .groupBy("_g", "point")
+        .agg(F.sum("height").alias("_sum"))
+    )
+    return sums.join(F.broadcast(scales), "_g").select(
+        "_g",
         "point",
         (F.col("_s.lo") + F.col("_s.step") * F.col("point")).alias("x"),
         (F.col("_sum") / (F.col("_s.n") * F.col("_s.h") * math.sqrt(2 * math.pi))).alias("density"),
@@ -162,6 +181,43 @@ def ridge_distribution(
     return union.where(F.col("n") >= min_values)
 
 
+def ridge_density(
+    df: DataFrame,
+    columns: Sequence[str],
+    months: int = 4,
+    min_values: int = 6,
+    grid: int = 200,
+    timestamp: str = "timestamp",
+) -> DataFrame:
+    """Density of each parameter in each of the newest months that has enough values."""
+    labels = recent_months(df, months, timestamp)
+    month = cal.month_period(F.col(timestamp))
+    long = (
+        df.select(month.alias("month"), *columns)
+        .where(F.col("month").isin(labels))
+        .unpivot("month", list(columns), "parameter", "_x")
+        .where("_x IS NOT NULL")
+        .withColumn("_g", F.concat_ws("|", "parameter", "month"))
+    )
+    # At most len(columns) * months rows.
+    scales = (
+        long.groupBy("_g")
+        .agg(
+            F.min("_x").alias("lo"),
+            ((F.max("_x") - F.min("_x")) / (grid - 1)).alias("step"),
+            (F.stddev_samp("_x") * F.pow(F.count("_x"), F.lit(-0.2))).alias("h"),
+            F.count("_x").alias("n"),
+        )
+        .where((F.col("n") >= min_values) & (F.col("h") > 0))
+        .select("_g", F.struct("lo", "step", "h", "n").alias("_s"))
+    )
+    data = long.join(F.broadcast(scales), "_g").withColumn("_w", F.lit(1.0))
+    parts = F.split("_g", "[|]")
+    return _densities(data, grid).select(
+        parts[0].alias("parameter"), parts[1].alias("month"), "point", "x", "density"
+    )
+
+
 def density_2d(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     """Counts on an equal-width grid over all complete pairs; empty cells are left out."""
     pairs = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -225,5 +226,5 @@ def first_rows(df: DataFrame, n: int, order: Sequence[str] = ORDER, limit: int =
     instant, below = kth_value(df, micros(F.col(ts)), n - 1, limit)
     at = df.where(micros(F.col(ts)) == F.lit(instant))
     last_tie, _ = kth_value(at, F.col(tie).cast("bigint"), n - 1 - below, limit)
-    edge = F.timestamp_add("MICROSECOND", F.lit(instant), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    edge = F.lit(str(datetime(1970, 1, 1) + timedelta(microseconds=instant))).cast("timestamp_ntz")
     return (F.col(ts) < edge) | ((F.col(ts) == edge) & (F.col(tie) <= F.lit(last_tie)))

@@ -11,7 +11,7 @@ from tests.session import make_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return make_session()
+    return make_session(**{"spark.sql.maxMetadataStringLength": "10000"})
 
 
 @pytest.fixture
