@@ -246,7 +246,7 @@ def test_short_series_guards(series):
 
 
 def test_t_and_f_agree(spark, series):
-    data = [1.0, 2, 3, 4, 6, 8]
+    data = [1.0, 2.0, 3.0, 4.0, 6.0, 8.0]
     groups = ["a"] * 3 + ["b"] * 3
     df = spark.createDataFrame(list(zip(data, groups)), "v double, wqi_class string")
     got = hypothesis.anova(df, "v").first()
