@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..defaults import CLASSES, HEALTH_RULES, ORDER, TARGETS, UNKNOWN_CLASS
+from ..defaults import CLASSES, HEALTH_RULES, ORDER, TARGETS
 from ..functions import calendar as cal
 from ..functions.numeric import (
     count_if,

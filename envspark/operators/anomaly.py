@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..defaults import ORDER
 from ..functions.numeric import count_if, percent, ratio
-from .aggregate import long_report
 from .quantiles import exact_quantiles
 from .scale import last_n, one_row, report_rows
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from envspark.functions import calendar as cal
 from envspark.functions.numeric import ratio
-from envspark.functions.text import component_name
 from envspark.operators.aggregate import class_distribution
 from envspark.operators.clean import cap_and_fill
 from envspark.plans.enrich import calendar_features as add_calendar, wqi

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from envspark.functions import calendar as cal
 from envspark.operators import scale, series as ops, topk
 from envspark.operators.aggregate import daily_mean, null_report
-from envspark.operators.anomaly import outlier_report
 
 from .registry import query
 from .views import PARAMS
