@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -18,8 +22,8 @@ from .common import map_rows, shared_folder, staged
 BLOCK_IDS = 65_536
 END_ID = 2
 MAGIC = b"PLN1"
-#: A worker keeps the ids of this many distinct words at most, then starts anew.
-CACHED_WORDS = 250_000
+#: About so many distinct words a worker keeps the ids of, those met since it last had so many, and as many before.
+CACHED_WORDS = 150_000
 _HEAD = struct.Struct("<4sBBHI")
 
 
@@ -59,29 +63,76 @@ def decode_block(block: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw).view(f"<u{width}").ravel().astype(np.uint32)
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class WordEncoder:
     """Token ids of whole texts, each distinct white-space-delimited piece encoded once.
 
     Right for vocabularies whose pre-tokenizer never joins pieces across white
-    space and drops the white space, which ``word_bpe`` files do.
+    space and drops the white space, as ``word_bpe`` files do. Where the file
+    normalises and splits as ``_KNOWN`` says, pieces of ASCII and Latin-1
+    letters are lower-cased and split here and only their parts go to the
+    library's model; anything else takes the library's whole path.
     """
 
+    # The file's own pattern, and what it comes to for the characters of ``_PLAIN``.
+    _KNOWN = (
+        ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"],
+        r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    )
+    _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
     def __init__(self, path: str, cached: int = CACHED_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
-        self.known: dict[bytes, bytes] = {}
+        shape = json.loads(self.tokenizer.to_str())
+        steps = lambda x, of: [s["type"] for s in (x or {}).get(of, [])]
+        splits = (shape["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        found = (steps(shape["normalizer"], "normalizers"), steps(shape["pre_tokenizer"], "pretokenizers"), splits[0].get("pattern", {}).get("Regex"))
+        self.short_way = found == self._KNOWN
+        self.special = tuple(t["content"] for t in shape["added_tokens"])
+        self.letters = {i: c for i, c in enumerate(_byte_letters())}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _encoded(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not self.short_way or not self._PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return b"".join([self.parts.get(p) or self._part(p) for p in self._PARTS.findall(text.lower())])
+
+    def _part(self, part: str) -> bytes:
+        if len(self.parts) > self.cached:
+            self.parts.clear()
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters)])
+        self.parts[part] = ids
+        return ids
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = text.split() if text else []
-        if len(self.known) > self.cached:
-            self.known.clear()
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(part, found))
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32)
+        young, old = self.young, self.old
+        for w in set(words).difference(young):
+            young[w] = old.get(w) or self._encoded(w)
+        ids = np.frombuffer(b"".join(map(young.__getitem__, words)), np.uint32)
+        if len(young) > self.cached:  # words not met since the last time go
+            self.young, self.old = {}, young
+        return ids
+
+
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each worker, which keeps what it knows from task to task."""
+    return WordEncoder(path)
 
 
 _BLOCKS = (
@@ -111,7 +162,7 @@ def write_tokens(
     ordered = asked.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        shard, encode = TaskContext.get().partitionId(), WordEncoder(tokenizer)
+        shard, encode = TaskContext.get().partitionId(), encoder(tokenizer)
         end = np.array([end_id], np.uint32)
         held: list[np.ndarray] = []
         index = {k: [] for k in ("row", "doc_id", "start", "at", "length")}

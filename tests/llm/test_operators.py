@@ -487,3 +487,17 @@ def test_model_of_nothing(spark):
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0)
     twice = ngram_lm.score(table(spark, [(1, "a b", "", "", 0)] * 2 + [(None, None, "", "", 0)]), fold).collect()
     assert len(twice) == 3 and {r.n_tokens for r in twice} == {3, 1}
+
+
+def test_word_encoder_equals_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    whole, ours = Tokenizer.from_file(TOKENIZER), token_store.WordEncoder(TOKENIZER, cached=50)
+    draw = random.Random(2)
+    signs = "abzAZ'stdm0919!?.,-_éÉßÿÀ÷×ªµ\x01\x7f~İΣσé́  \t<|endoftext|>"
+    assert ours.short_way
+    for _ in range(3000):
+        text = "".join(draw.choices(signs, k=draw.randint(1, 30)))
+        assert ours(text.encode()).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
