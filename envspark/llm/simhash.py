@@ -117,8 +117,9 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 3) -> DataFrame:
     classes = staged(rows.groupBy("fp").agg(first.alias("first")), "classes")
     linked = staged(components(near_pairs(classes.select("fp"), radius)), "linked")
     ends = linked.withColumnRenamed("node", "fp")
-    least = classes.join(ends, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    named = classes.join(ends, "fp", "left").join(least, "root", "left")
+    least = staged(classes.join(ends, "fp").groupBy("root").agg(F.min("first").alias("least")), "least")
+    # Only linked fingerprints look for their root's name, and from written tables, so that a large component is split.
+    named = classes.join(ends.join(least, "root").select("fp", "least"), "fp", "left")
     named = staged(named.select("fp", F.coalesce("least", "first").alias("keep")), "named")
     # Both sides are written tables: a fingerprint with many copies is split by the skew join.
     return rows.join(named, "fp").select(
