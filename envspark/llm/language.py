@@ -15,7 +15,7 @@ DIM = 512
 #: Letters fall into this many classes; class 0 stands for whatever is no letter.
 CLASSES = 64
 #: A worker keeps the vectors of this many trigrams before it starts anew.
-CACHED_TRIGRAMS = 60_000
+CACHED_TRIGRAMS = 32_000
 
 
 def _letter_classes() -> np.ndarray:

@@ -22,10 +22,11 @@ END = b" "
 FOLDS = 7
 #: This fold of the training rows is held out when the mixture weights are learned, and counted again for scoring.
 HELD_FOLD = 6
-#: Distinct words that a task counts before it passes them on, tokens of a block of rows, tokens of a hash partition.
-COUNTED_WORDS = 300_000
-BLOCK_TOKENS = 1 << 20
-PARTITION_TOKENS = 3_000_000
+#: Distinct words that a task counts before it passes them on, tokens and rows of a block, tokens of a hash partition.
+COUNTED_WORDS = 120_000
+BLOCK_TOKENS = 1 << 18
+BLOCK_ROWS = 1 << 12
+PARTITION_TOKENS = 2_000_000
 _GRID = 8  # steps to an octave in the statistics for EM
 _SPAN = 512
 
@@ -181,7 +182,7 @@ def _emit(shared, parts: int):
             held.append((doc_id, part, len(found) + 1, fold))
             words += found
             words.append(END)
-            if len(words) >= BLOCK_TOKENS or len(held) == 1 << 15:
+            if len(words) >= BLOCK_TOKENS or len(held) == BLOCK_ROWS:
                 yield from block()
                 held, words, number = [], [], number + 1
         if held:
@@ -190,12 +191,19 @@ def _emit(shared, parts: int):
     return blocks
 
 
-def _gather(messages: Iterable, kind: str, dtype) -> tuple:
-    """Keys of one hash partition with, for every run of keys of one row, its length, row, block and whether it trains."""
-    picked = [(name, c) for _, (k, name, c) in messages if k == kind]
-    join = lambda i, t: np.concatenate([np.frombuffer(c[i], t) for _, c in picked] or [np.zeros(0, t)])
-    runs = [len(c[1]) // 2 for _, c in picked]
-    block = np.repeat(np.array([name for name, _ in picked], np.int64), runs)
+def _by_kind(messages: Iterable) -> dict[str, list]:
+    """Messages of one hash partition as (block, content), by kind; whoever gathers a kind takes it out."""
+    found: dict[str, list] = {}
+    for _, (kind, name, content) in messages:
+        found.setdefault(kind, []).append((name, content))
+    return found
+
+
+def _gather(messages: list, dtype) -> tuple:
+    """Keys of one hash partition with, for every run of keys of one row, its row, length, part and block."""
+    join = lambda i, t: np.concatenate([np.frombuffer(c[i], t) for _, c in messages] or [np.zeros(0, t)])
+    runs = [len(c[1]) // 2 for _, c in messages]
+    block = np.repeat(np.array([name for name, _ in messages], np.int64), runs)
     return join(0, dtype), join(1, np.uint16), join(2, np.uint32).astype(np.int64), join(3, np.uint8), block
 
 
@@ -203,8 +211,7 @@ def _em_statistics(model: BigramModel):
     """Held-out tokens of a partition by bucket and, on a logarithmic grid, the ratio of both estimates to the uniform part."""
 
     def statistics(parts: Iterable) -> Iterator[tuple[int, int]]:
-        messages = list(parts)
-        keys, _, size, train, _ = _gather(messages, "pairs", np.uint32)
+        keys, _, size, train, _ = _gather(_by_kind(parts).pop("pairs", []), np.uint32)
         kind = np.repeat(train, size)  # 0: not for training, 1: kept, 2: held out
         distinct, which = np.unique(keys, return_inverse=True)
         kept = np.bincount(which, kind == 1, len(distinct))
@@ -229,20 +236,19 @@ def _scores(shared_model):
 
     def scores(parts: Iterable) -> Iterator[tuple]:
         model: BigramModel = shared_model.value
-        v, messages = model.vocabulary, list(parts)
-        keys, row, size, train, block = _gather(messages, "pairs", np.uint32)
+        v, messages = model.vocabulary, _by_kind(parts)
+        keys, row, size, train, block = _gather(messages.pop("pairs", []), np.uint32)
         distinct, which = np.unique(keys, return_inverse=True)
         counts = np.bincount(which, np.repeat(train > 0, size), len(distinct))
         value = model.log10((distinct >> 16).astype(np.int64), (distinct & RARE).astype(np.int64), counts)
         yield from _by_block(block, row, size, [value[which]])
-        keys, row, size, train, block = _gather(messages, "rare", np.uint64)
+        keys, row, size, train, block = _gather(messages.pop("rare", []), np.uint64)
         distinct, which = np.unique(keys, return_inverse=True)
         counts = np.bincount(which, np.repeat(train > 0, size), len(distinct))
         base = np.log10((counts + 1) / (v.tokens + v.distinct + 1))
         yield from _by_block(block, row, size, [np.zeros(len(which)), base[which], (counts > 0)[which].astype(float)])
-        for _, (kind, name, content) in messages:
-            if kind == "rows":
-                yield name, ("rows", content)
+        for name, content in messages.pop("rows", []):
+            yield name, ("rows", content)
 
     return scores
 
@@ -270,7 +276,7 @@ def _finish(parts: Iterable) -> Iterator[tuple]:
             blocks[name] = content
             continue
         # Sized on first sight for the largest block; only the rows that exist are read.
-        total = totals.setdefault(name, np.zeros((3, 1 << 15)))
+        total = totals.setdefault(name, np.zeros((3, BLOCK_ROWS)))
         row = np.frombuffer(content[0], np.uint16)
         for k, x in enumerate(content[1]):
             np.add.at(total[k], row, np.frombuffer(x))
