@@ -14,6 +14,7 @@ UNKNOWN = "und"
 DIM = 512
 #: Letters fall into this many classes; class 0 stands for whatever is no letter.
 CLASSES = 64
+SHARES = 32
 #: A worker keeps the vectors of this many trigrams before it starts anew.
 CACHED_TRIGRAMS = 32_000
 
@@ -114,7 +115,7 @@ class LanguageModel:
         """Learn from ``text, lang`` of ``docs``; rows without either are left out.
 
         Trigrams are counted for each language over all rows. The prototypes,
-        one vector for each distinct language, go to the driver.
+        ``SHARES`` vectors for each distinct language, go to the driver.
         """
         space = space or Hyperspace()
 
@@ -132,7 +133,7 @@ class LanguageModel:
 
         asked = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("text").cast("string"), F.col("lang").cast("string"))
         counted = map_rows(asked, counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-        # A language is at most all trigrams: one bundle for each, built where its counts are.
+        # A language is at most all trigrams; shares of them are bundled apart.
         dims = "lang string, proto array<double>"
 
         def bundle(key, rows):
@@ -141,12 +142,15 @@ class LanguageModel:
             total = space.bundle(np.array(rows["code"]), np.array(rows["n"]))
             return pa.table({"lang": [key[0].as_py()], "proto": [total.tolist()]})
 
-        found = counted.groupBy("lang").applyInArrow(bundle, dims).orderBy("lang").collect()
-        protos = np.array([r.proto for r in found]).reshape(-1, space.dim)
+        shares = counted.withColumn("share", F.pmod(F.xxhash64("code"), F.lit(SHARES))).groupBy("lang", "share")
+        bundles: dict[str, list] = {}
+        for r in shares.applyInArrow(bundle, dims).orderBy("lang", "proto").collect():
+            bundles.setdefault(r.lang, []).append(r.proto)
+        protos = np.array([np.sum(b, axis=0) for b in bundles.values()]).reshape(-1, space.dim)
         unit = protos / np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-12)
         common = unit.mean(axis=0) if len(unit) > 1 else np.zeros(space.dim)
         unit = unit - common
-        return cls([r.lang for r in found], unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12), common, space)
+        return cls(list(bundles), unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12), common, space)
 
     def predict_one(self, text: str | None, space: Hyperspace) -> tuple[str, float]:
         codes, counts = trigram_counts(text)

@@ -23,10 +23,10 @@ FOLDS = 7
 #: This fold of the training rows is held out when the mixture weights are learned, and counted again for scoring.
 HELD_FOLD = 6
 #: Distinct words that a task counts before it passes them on, tokens and rows of a block, tokens of a hash partition.
-COUNTED_WORDS = 120_000
-BLOCK_TOKENS = 1 << 18
-BLOCK_ROWS = 1 << 12
-PARTITION_TOKENS = 2_000_000
+COUNTED_WORDS = 80_000
+BLOCK_TOKENS = 1 << 17
+BLOCK_ROWS = 1 << 11
+PARTITION_TOKENS = 1_000_000
 _GRID = 8  # steps to an octave in the statistics for EM
 _SPAN = 512
 

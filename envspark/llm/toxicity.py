@@ -17,7 +17,7 @@ EMBEDDING = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
 #: Labelled rows of each class that training takes at most, chosen by a hash of the id.
-FIT_ROWS = 4_000
+FIT_ROWS = 3_000
 EPOCHS = 4
 CUT = 0.7
 # Common words by which a text's language is told for calibration.
@@ -137,15 +137,15 @@ def _init(table: np.ndarray, at: np.ndarray, lengths: np.ndarray, y: np.ndarray,
 
 
 def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str], epochs: int = EPOCHS, seed: int = 3) -> ToxicityModel:
-    """Train on the buckets (words by 3) of labelled texts; a fifth of them is kept for the thresholds.
+    """Train on labelled texts, each an array of words, a word its three buckets in one number; a fifth is kept for the thresholds.
 
     Without texts of both classes the score is the share of class 1.
     """
     rng = np.random.default_rng(seed)
     lengths = np.array([len(t) for t in texts], np.int64)
-    words = np.concatenate(texts) if texts else np.zeros((0, 3), np.int32)
-    table, at = np.unique(words, axis=0, return_inverse=True) if len(words) else (words, np.zeros(0, np.int64))
-    at = at.ravel()
+    codes, at = np.unique(np.concatenate([*texts, np.zeros(0, np.uint64)]), return_inverse=True)
+    at = at.astype(np.int32)
+    table = np.stack([codes >> np.uint64(shift) & np.uint64(BUCKETS - 1) for shift in (0, 16, 32)], axis=1).astype(np.int32)
     kept = rng.random(len(y)) < 0.2
     if y[~kept].sum() < 5 or y[kept].sum() < 2:
         kept[:] = False
@@ -250,16 +250,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, fit_rows: int =
         for b in batches:
             texts = [letter_words(t) for t in b["text"]]
             table, at, lengths = word_index(texts)
-            cells = table.astype("<u4")[at] if len(at) else np.zeros((0, 3), "<u4")
-            parts = np.split(cells, np.cumsum(lengths)[:-1])
+            codes = table.astype("<u8") @ np.array([1, 1 << 16, 1 << 32], "<u8")
+            parts = np.split(codes[at], np.cumsum(lengths)[:-1])
             yield {
                 "id": b["_id"], "toxic": b["_toxic"], "lang": [language_of(t) for t in texts],
-                "cells": [p.astype("<u2").tobytes() for p in parts],
+                "cells": [p.tobytes() for p in parts],
             }
 
     got = map_rows(asked, rows, "id long, toxic int, lang string, cells binary").collect()
     got.sort(key=lambda r: (r.id, r.cells))
-    cells = [np.frombuffer(r.cells, "<u2").reshape(-1, 3).astype(np.int32) for r in got]
+    cells = [np.frombuffer(r.cells, "<u8") for r in got]
     return train(cells, np.array([r.toxic for r in got], np.int64), [r.lang for r in got], epochs)
 
 
