@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import xxhash
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import map_rows, plain_words, staged, text_bytes
+from .common import plain_words, text_bytes
 
 #: A word is a class of its own if it makes up one in so many training tokens, so this bounds such words; the rest share one class.
 COMMON_SHARE = 65_000
@@ -22,11 +24,11 @@ END = b" "
 FOLDS = 7
 #: This fold of the training rows is held out when the mixture weights are learned, and counted again for scoring.
 HELD_FOLD = 6
-#: Distinct words that a task counts before it passes them on, tokens and rows of a block, tokens of a hash partition.
-COUNTED_WORDS = 80_000
+#: Distinct words that a task counts before it passes them on, tokens and rows of a block, bytes of text for each hash partition.
+COUNTED_WORDS = 120_000
 BLOCK_TOKENS = 1 << 17
 BLOCK_ROWS = 1 << 11
-PARTITION_TOKENS = 1_000_000
+PARTITION_BYTES = 12_000_000
 _GRID = 8  # steps to an octave in the statistics for EM
 _SPAN = 512
 
@@ -74,41 +76,72 @@ class Vocabulary:
     rare_words: int
 
     @classmethod
-    def count(cls, docs: DataFrame) -> Vocabulary:
-        """From rows of ``text`` (binary) and ``fold``, all of them training rows. Common words go to the driver, which their share bounds."""
-
-        def rows(batches: Iterator[dict]) -> Iterator[dict]:
-            seen: dict[bool, Counter] = {False: Counter(), True: Counter()}
-
-            def flush() -> Iterable[dict]:
-                for held, counter in seen.items():
-                    if counter:
-                        n = np.fromiter(counter.values(), np.int64, len(counter))
-                        yield {"word": list(counter), "n": n, "held": n if held else n * 0}
-                        counter.clear()
-
-            for b in batches:
-                for fold, text in zip(b["fold"], b["text"]):
-                    counter = seen[fold == HELD_FOLD]
-                    counter.update(plain_words(text))
-                    counter[END] += 1
-                    if len(counter) > COUNTED_WORDS:
-                        yield from flush()
-            yield from flush()
-
-        counted = map_rows(docs, rows, "word binary, n long, held long").groupBy("word")
-        counted = staged(counted.agg(F.sum("n").alias("n"), F.sum("held").alias("held")), "words")
-        n, held, distinct = counted.agg(F.sum("n"), F.sum("held"), F.count(F.lit(1))).first()
-        n, held = n or 0, held or 0
-        common = counted.where((F.col("n") * COMMON_SHARE >= n) & (F.col("word") != F.lit(END))).collect()
-        common.sort(key=lambda r: (-r.n, bytes(r.word)))
-        ends = counted.where(F.col("word") == F.lit(END)).collect()
-        total, kept = np.zeros(RARE + 1, np.int64), np.zeros(RARE + 1, np.int64)
-        for i, r in enumerate([*ends[:1], *common] if ends else [None, *common]):
-            if r is not None:
-                total[i], kept[i] = r.n, r.n - r.held
-        total[RARE], kept[RARE] = n - total.sum(), n - held - kept.sum()
-        return cls([END, *(bytes(r.word) for r in common)], total, kept, n, distinct, distinct - len(common) - len(ends))
+    def count(cls, rows: RDD, parts: int) -> Vocabulary:
+        """From training rows of ``fold`` and ``text``. Common words go to the driver, which their share bounds."""
+        counted = rows.mapPartitions(_count_words(parts)).partitionBy(parts, lambda p: p)
+        total, total_held, distinct = 0, 0, 0
+        for n, held, words in counted.mapPartitions(lambda m: [_totals(m)]).collect():
+            total, total_held, distinct = total + n, total_held + held, distinct + words
+
+        def common(messages: Iterable) -> list[tuple[bytes, int, int]]:
+            counts, held = _merged(messages)
+            return [(w, n, held[w]) for w, n in counts.items() if w == END or n * COMMON_SHARE >= total]
+
+        # The same shuffle files serve this second job.
+        found = sorted(counted.mapPartitions(common).collect(), key=lambda r: (r[0] != END, -r[1], r[0]))
+        if not found or found[0][0] != END:
+            found.insert(0, (END, 0, 0))
+        counts, kept = np.zeros(RARE + 1, np.int64), np.zeros(RARE + 1, np.int64)
+        counts[: len(found)] = [n for _, n, _ in found]
+        kept[: len(found)] = [n - held for _, n, held in found]
+        counts[RARE], kept[RARE] = total - counts.sum(), total - total_held - kept.sum()
+        return cls([w for w, _, _ in found], counts, kept, total, distinct, distinct - sum(n > 0 for _, n, _ in found))
+
+
+def _count_words(parts: int):
+    """A function for each input partition: its counts of distinct words as messages (hash partition, content)."""
+
+    def run(rows: Iterable) -> Iterator[tuple]:
+        seen: dict[bool, Counter] = {False: Counter(), True: Counter()}
+
+        def flush(held: bool) -> Iterator[tuple]:
+            to: dict[int, tuple[list, list]] = {}
+            for w, n in seen[held].items():
+                words, counts = to.setdefault(zlib.crc32(w) % parts, ([], []))
+                words.append(w)
+                counts.append(n)
+            seen[held].clear()
+            for p, (words, counts) in to.items():
+                yield p, (b"\n".join(words), np.array(counts, np.int64).tobytes(), held)
+
+        for fold, text in rows:
+            held = fold == HELD_FOLD
+            seen[held].update(plain_words(bytes(text) if text is not None else None))
+            seen[held][END] += 1
+            if len(seen[held]) > COUNTED_WORDS:
+                yield from flush(held)
+        yield from flush(False)
+        yield from flush(True)
+
+    return run
+
+
+def _merged(messages: Iterable) -> tuple[dict[bytes, int], dict[bytes, int]]:
+    """Counts by word of one hash partition, and those of the held-out fold."""
+    counts: dict[bytes, int] = defaultdict(int)
+    held: dict[bytes, int] = defaultdict(int)
+    for _, (words, numbers, is_held) in messages:
+        # No word has a line break in it either.
+        for w, n in zip(words.split(b"\n"), np.frombuffer(numbers, np.int64).tolist()):
+            counts[w] += n
+            if is_held:
+                held[w] += n
+    return counts, held
+
+
+def _totals(messages: Iterable) -> tuple[int, int, int]:
+    counts, held = _merged(messages)
+    return sum(counts.values()), sum(held.values()), len(counts)
 
 
 @dataclass
@@ -307,8 +340,9 @@ def score(docs: DataFrame, fold: Column, held_out: int = 2) -> DataFrame:
         F.col("doc_id").cast("long"), fold.cast("int").alias("fold"), text_bytes().alias("text"),
     )
     trains = F.coalesce(F.col("fold") != held_out, F.lit(True))
-    vocabulary = Vocabulary.count(rows.where(trains).select("fold", "text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocabulary.tokens // PARTITION_TOKENS))
+    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // PARTITION_BYTES))
+    vocabulary = Vocabulary.count(rows.where(trains).select("fold", "text").rdd, parts)
     denominator = vocabulary.tokens + vocabulary.distinct + 1
     shared = context.broadcast((
         {w: i for i, w in enumerate(vocabulary.words)},
