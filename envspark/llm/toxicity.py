@@ -117,12 +117,15 @@ class ToxicityModel:
 
 def _init(table: np.ndarray, at: np.ndarray, lengths: np.ndarray, y: np.ndarray, rng) -> ToxicityModel:
     """Random weights, but the first embedding component starts at the log odds of the label by bucket."""
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    odds = np.zeros(BUCKETS)
-    pairs = np.unique(text[:, None].astype(np.int64) * BUCKETS + table[at], axis=None)
-    label, bucket = y[pairs // BUCKETS], pairs % BUCKETS
-    for_one = np.bincount(bucket[label == 1], minlength=BUCKETS)
-    for_none = np.bincount(bucket[label == 0], minlength=BUCKETS)
+    for_one, for_none, starts = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), _starts(lengths)
+    for i in range(0, len(lengths), 256):
+        size = lengths[i : i + 256]
+        text = np.repeat(np.arange(len(size)), size)
+        # A bucket counts once for a text.
+        pairs = np.unique(text[:, None] * BUCKETS + table[at[starts[i] : starts[i] + size.sum()]])
+        label, bucket = y[i + pairs // BUCKETS], pairs % BUCKETS
+        for_one += np.bincount(bucket[label == 1], minlength=BUCKETS)
+        for_none += np.bincount(bucket[label == 0], minlength=BUCKETS)
     odds = np.log((for_one + 0.5) / (y.sum() + 1)) - np.log((for_none + 0.5) / (len(y) - y.sum() + 1))
     odds[for_one + for_none < 2] = 0
     embedding = rng.normal(0, 0.05, (BUCKETS, EMBEDDING)).astype(np.float32)
