@@ -10,6 +10,11 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def bounded(value: Column) -> Column:
+    """NULL for NaN and for both infinities."""
+    return F.when(F.abs(finite(value)) < float("inf"), value)
+
+
 def parse_number(text: Column, strip_grouping: bool = False) -> Column:
     """Text to double; anything that is not a number becomes NULL."""
     if strip_grouping:

@@ -79,6 +79,9 @@ def align_ranges(
     high = both.select(F.least("a_max", "b_max")).scalar()
 
     def cut(df, c):
+        if dict(df.dtypes)[c] in ("timestamp_ntz", "date"):  # the bare column, so that the range reaches the scan
+            kind = dict(df.dtypes)[c]
+            return df.where((F.col(c) >= low.cast(kind)) & (F.col(c) < F.date_add(high, 1).cast(kind)))
         return df.where((cal.day(F.col(c)) >= low) & (cal.day(F.col(c)) <= high))
 
     return cut(a, a_col), cut(b, b_col)

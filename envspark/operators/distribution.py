@@ -113,7 +113,8 @@ def kde(df: DataFrame, column: str, grid: int = 200, binned: bool = False, bins:
         )
     else:
         data = data.select(F.col(column).alias("_x"), F.lit(1.0).alias("_w"))
-    density = _densities(data.withColumn("_g", F.lit("")).withColumn("_s", scale), grid)
+    # A constant column has no bandwidth and so no density.
+    density = _densities(data.withColumn("_g", F.lit("")).withColumn("_s", scale).where(F.col("_s.h") > 0), grid)
     return density.drop("_g")
 
 

@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .quantiles import exact_quantiles
-from .topk import hash_share
 
 _EULER = 0.5772156649015329
 
@@ -52,11 +51,12 @@ def grow_forest(
     The samples are disjoint and picked by a hash of the row key: a bounded
     number of rows, the same on every run.
     """
-    ticket = hash_share(key, str(seed))
+    # All 64 bits, so that ties, which go by the key, stay rare however many rows there are.
+    ticket = F.xxhash64(F.col(key), F.lit(seed))
     known = df.where(F.col(column).isNotNull()).select(key, F.col(column).cast("double").alias("x"))
     # trees * sample rows at most; ranking them is bounded work.
     picked = known.orderBy(ticket, key).limit(trees * sample)
-    number = F.row_number().over(Window.orderBy(hash_share(key, str(seed)), key)) - 1
+    number = F.row_number().over(Window.orderBy(ticket, key)) - 1
 
     def one_tree(rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(rows["tree"].iloc[0])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..defaults import ORDER
 from ..functions.calendar import ordinal
-from ..functions.numeric import percent, ratio
+from ..functions.numeric import bounded, percent, ratio
 from ..sources.catalog import numeric_columns
 from .clean import covered_columns
 from .scale import last_n, written
@@ -113,14 +115,15 @@ def train(
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Adds ``prediction`` to every row with complete features."""
+    """Adds ``prediction`` to every row; it is NULL where a feature is missing."""
     features = model.stages[0].getInputCols()
-    scored = model.transform(df.na.drop(subset=features)).drop("features")
+    complete = reduce(and_, [bounded(F.col(c).cast("double")).isNotNull() for c in features])
+    scored = model.transform(df.where(complete)).drop("features")
     members = [c for c in scored.columns if c.startswith("prediction_")]
     if members:
         mean = sum((F.col(c) for c in members), F.lit(0.0)) / len(members)
         scored = scored.withColumn("prediction", mean).drop(*members)
-    return scored
+    return scored.unionByName(df.where(~complete).withColumn("prediction", F.lit(None).cast("double")))
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..defaults import ORDER
 from ..functions.calendar import micros
-from ..functions.numeric import count_if
+from ..functions.numeric import bounded, count_if
 
 # Values that one exact ``percentile`` buffer may hold.
 EXACT_VALUES = 20_000
@@ -159,7 +159,8 @@ def exact_quantiles(
     """
     if not isinstance(columns, Mapping):
         columns = {c: F.col(c) for c in columns}
-    columns = {n: c.cast("double") for n, c in columns.items()}
+    # NaN and infinities have no place among quantiles, and a bracket that ends in one could not be halved.
+    columns = {n: bounded(c.cast("double")) for n, c in columns.items()}
     ends = [(max(0.0, p - SLACK), min(1.0, p + SLACK)) for p in probabilities]
     flat_ends = [r for pair in ends for r in pair]
     # One pass finds how many values there are and where the ranks roughly lie.
@@ -218,13 +219,19 @@ def first_rows(df: DataFrame, n: int, order: Sequence[str] = ORDER, limit: int =
     """Predicate true for the first ``n`` rows by ``order`` (timestamp, then a unique bigint).
 
     Finds the boundary key by rank search instead of numbering every row. Rows
-    must have a timestamp. Runs actions.
+    without a timestamp come first, in order of the number. Never NULL. Runs actions.
     """
     if n <= 0:
         return F.lit(False)
     ts, tie = order
+    undated = F.col(ts).isNull()
+    without = df.where(undated).count()
+    if n <= without:
+        last, _ = kth_value(df.where(undated), F.col(tie).cast("bigint"), n - 1, limit)
+        return F.coalesce(undated & (F.col(tie) <= F.lit(last)), F.lit(False))
+    n -= without
     instant, below = kth_value(df, micros(F.col(ts)), n - 1, limit)
     at = df.where(micros(F.col(ts)) == F.lit(instant))
     last_tie, _ = kth_value(at, F.col(tie).cast("bigint"), n - 1 - below, limit)
     edge = F.lit(str(datetime(1970, 1, 1) + timedelta(microseconds=instant))).cast("timestamp_ntz")
-    return (F.col(ts) < edge) | ((F.col(ts) == edge) & (F.col(tie) <= F.lit(last_tie)))
+    return undated | F.coalesce((F.col(ts) < edge) | ((F.col(ts) == edge) & (F.col(tie) <= F.lit(last_tie))), F.lit(False))

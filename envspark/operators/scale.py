@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -181,8 +183,10 @@ def carried(
         *[F.last(c, ignorenulls=True).over(upto).alias(f"_in_prev_{c}") for c in columns],
         *[F.last(c, ignorenulls=True).over(onward).alias(f"_in_next_{c}") for c in columns],
     )
-    return filled.join(edges, keys).select(
-        *df.columns,
+    # A missing site is a site of its own, as it is in the windows above.
+    same = reduce(and_, [F.col(f"f.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys])
+    return filled.alias("f").join(edges.alias("e"), same).select(
+        *[F.col(f"f.{c}") for c in df.columns],
         *[F.coalesce(f"_in_prev_{c}", f"_before_{c}").alias(f"{c}_prev") for c in columns],
         *[F.coalesce(f"_in_next_{c}", f"_after_{c}").alias(f"{c}_next") for c in columns],
     )

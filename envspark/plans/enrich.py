@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..defaults import ORDER, Parameter
+from ..defaults import ORDER, SITE_NAMES, Parameter
 from ..functions import calendar as cal
 from ..functions.quality import CUTS, PARAMETERS, classify, combine, sub_index
 from ..operators.align import join_daily, overlap, prefix_weather, weather_daily
@@ -93,7 +93,8 @@ def enrich(
         if fill_weather:
             daily = _cover(df, daily, order[0])
         df = join_daily(df, prefix_weather(daily), order[0])
-    numbers = [c for c in numeric_columns(df) if c not in order]
+    # A site may be a number, but it is a name.
+    numbers = [c for c in numeric_columns(df) if c not in order and c not in SITE_NAMES]
     if cap and impute_method == "median":
         df = cap_and_fill(df, numbers)
     else:

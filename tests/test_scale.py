@@ -147,3 +147,45 @@ def test_first_rows_split_equal_timestamps(spark, limit):
     for n in (0, 1, 40, 77, 199, 200):
         got = df.where(first_rows(df, n, limit=limit)).collect()
         assert sorted(tuple(r) for r in got) == sorted(rows)[:n]
+
+
+def test_no_row_is_lost_without_site_timestamp_or_number(spark):
+    from envspark.operators.clean import impute
+    from envspark.operators.quantiles import exact_quantiles
+    from envspark.operators.series import chrono_split
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60).select(
+        F.when(F.col("id") % 6 > 0, F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz")).alias("timestamp"),
+        F.col("id").alias("record_number"),
+        F.when(F.col("id") % 3 > 0, F.lit("a")).alias("site"),
+        F.when(F.col("id") % 4 > 0, F.col("id").cast("double")).alias("v"),
+    )
+    assert impute(rows, ["v"], "ffill_bfill", site="site").count() == 60
+    for test, newer in ((0.2, 12), (0.95, 57)):
+        train, rest = chrono_split(rows, test)
+        assert (train.count(), rest.count()) == (60 - newer, newer)
+    odd = spark.range(60_000).select(
+        F.when(F.col("id") % 5 == 0, float("nan")).when(F.col("id") % 7 == 0, float("inf")).otherwise(F.col("id").cast("double")).alias("v")
+    )
+    kept = sorted(i for i in range(60_000) if i % 5 and i % 7)
+    assert exact_quantiles(odd, ["v"], [0.0, 1.0])["v"] == [kept[0], kept[-1]]
+
+
+def test_density_of_a_constant_column_is_empty(spark):
+    from envspark.operators.distribution import kde
+    from pyspark.sql import functions as F
+
+    assert kde(spark.range(50).select(F.lit(3.0).alias("v")), "v").count() == 0
+
+
+def test_site_numbers_stay_as_they_are(spark):
+    from envspark.plans.enrich import enrich
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40).select(
+        F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz").alias("timestamp"), F.col("id").alias("record_number"),
+        F.when(F.col("id") > 0, F.lit(7)).alias("site"), F.col("id").cast("double").alias("ph"),
+    )
+    done = enrich(rows)
+    assert dict(done.dtypes)["site"] == "int" and done.where("site IS NULL").count() == 1
