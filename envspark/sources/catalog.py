@@ -9,6 +9,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from ..defaults import NON_NUMERIC_NAMES, SITE_NAMES, TIMESTAMP_NAMES
 from ..functions.text import canonical
+from ..operators.scale import report_rows
 
 
 def numeric_columns(
@@ -55,13 +56,10 @@ def timestamp_column(df: DataFrame, min_values: int = 6) -> str | None:
 
 
 def type_counts(df: DataFrame) -> DataFrame:
-    """Number of columns per type."""
-    rows = [(f.dataType.simpleString(),) for f in df.schema]
-    return (
-        df.sparkSession.createDataFrame(rows, "data_type string")
-        .groupBy("data_type")
-        .agg(F.count(F.lit(1)).alias("columns"))
-    )
+    """Number of columns per type and of their cells that hold a value."""
+    kind = lambda f: F.lit(f.dataType.simpleString()).alias("data_type")
+    rows = report_rows(df, [F.struct(kind(f), F.count(f"`{f.name}`").alias("filled")) for f in df.schema])
+    return rows.groupBy("data_type").agg(F.count(F.lit(1)).alias("columns"), F.sum("filled").alias("filled"))
 
 
 def normalise_headers(df: DataFrame) -> DataFrame:

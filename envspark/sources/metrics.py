@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Separator of the heading line and labels of the value lines.
@@ -18,15 +20,38 @@ def metrics_text(row_model: Column, target: Column) -> Column:
 
 
 def write_metrics(metrics: DataFrame, path: str, fmt: str = "json") -> None:
-    """Append metric rows (an action). ``fmt="text"`` writes one record per line block."""
+    """Append metric rows (an action).
+
+    ``fmt="text"`` writes one file ``<model>_<target>_metrics.txt`` per row, in
+    lower case with ``_`` for whatever is no letter, digit, dot or dash, which
+    :func:`scan_metrics` reads again. A file of the same name is replaced; of
+    several rows with one name any one is written. Unknown names are ``unknown``.
+    """
     if fmt == "text":
-        metrics = metrics.select(metrics_text(F.col("model"), F.col("target")).alias("value"))
-        # One file per model, as each record is one small text.
-        metrics.repartition("value").write.mode("append").option("lineSep", "\n").text(path)
+        model, target = (F.coalesce(c, F.lit("unknown")) for c in ("model", "target"))
+        name = F.regexp_replace(F.lower(F.concat_ws("_", model, target)), "[^\\p{L}\\p{N}.-]", "_")
+        records = metrics.select(name.alias("file"), metrics_text(model, target).alias("value"))
+        staging = f"{path}/_staging-{uuid.uuid4().hex}"
+        records.groupBy("file").agg(F.any_value("value").alias("value")).write.partitionBy("file").text(staging)
+        _publish(metrics.sparkSession, staging, path)
         return
     metrics.write.mode("append").format(fmt).save(path)
 
 
+def _publish(spark: SparkSession, staging: str, path: str) -> None:
+    """Move the one file of each folder ``file=<name>`` to ``<name>_metrics.txt``; there is one for each trained model."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(staging)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in fs.globStatus(hadoop.Path(staging, "file=*/part-*")) or []:
+        name = part.getPath().getParent().getName().removeprefix("file=")
+        goal = hadoop.Path(path, f"{name}_metrics.txt")
+        fs.delete(goal, False)
+        if not fs.rename(part.getPath(), goal):
+            raise OSError(f"could not write {goal.toString()}")
+    fs.delete(root, True)
+
+
 def parse_metrics(records: DataFrame, value: str = "value") -> DataFrame:
     """Metric rows from text records; records with neither RMSE nor R² are left out."""
     text = F.col(value)

@@ -174,6 +174,20 @@ def test_scan_metrics(spark, tmp_path):
     assert (got["bare_metrics"].target, got["bare_metrics"].r2) == ("Unknown", None)
 
 
+def test_metrics_text_files(spark, tmp_path):
+    schema = "model string, target string, rmse double, r2 double, mae double, train_rows bigint, test_rows bigint"
+    rows = [("GBT", "ph", 0.25, -0.5, 0.125, 80, 20), ("GBT", "Dissolved Oxygen", 0.5, 0.5, 0.25, 80, 20), (None, "ph", 1.0, 0.1, 0.5, 8, 2)]
+    metrics.write_metrics(spark.createDataFrame(rows, schema), str(tmp_path), fmt="text")
+    # A second run of a model replaces its file and leaves the others.
+    metrics.write_metrics(spark.createDataFrame([("GBT", "ph", 0.125, 0.5, 0.0625, 90, 10)], schema), str(tmp_path), fmt="text")
+    metrics.write_metrics(spark.createDataFrame([], schema), str(tmp_path), fmt="text")
+    names = ["gbt_dissolved_oxygen_metrics", "gbt_ph_metrics", "unknown_ph_metrics"]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == [f"{n}.txt" for n in names]
+    got = {r.model: r for r in metrics.scan_metrics(spark, str(tmp_path)).collect()}
+    assert sorted(got) == names
+    assert (got[names[1]].rmse, got[names[1]].train_rows, got[names[0]].target) == (0.125, 90, "Dissolved Oxygen")
+
+
 def test_metrics_text_round_trip(spark):
     row = spark.createDataFrame(
         [("GBT", "ph", 0.25, -0.5, 0.125, 80, 20)], "model string, target string, rmse double, r2 double, mae double, train_rows bigint, test_rows bigint"

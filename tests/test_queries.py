@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
@@ -21,5 +22,12 @@ def test_query_equals_sql(spark, con, name):
     assert compare(entry.queries()[name](spark, SF_DIR), con, entry.oracle_sql()[name]) == ""
 
 
+@pytest.mark.parametrize("name", ["wqi_bands_known", "volatility_known", "kpis_with_rain", "scan_metrics"])
+def test_every_column_has_values(spark, name):
+    df = entry.queries()[name](spark, SF_DIR)
+    filled = df.agg(*[F.count(f"`{c}`").alias(c) for c in df.columns]).first().asDict()
+    assert [c for c, n in filled.items() if n == 0] == []
+
+
 def test_flagship_has_rows(spark):
     assert entry.entry(spark).count() > 0

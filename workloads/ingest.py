@@ -160,14 +160,14 @@ def write_metrics(t):
 
 
 @query(
-    f"SELECT model AS model_type, target, CAST(printf('%.4f', rmse) AS DOUBLE) AS rmse, CAST(printf('%.4f', r2) AS DOUBLE) AS r2, "
+    f"SELECT lower(model) || '_' || target || '_metrics' AS model, model AS model_type, target, CAST(printf('%.4f', rmse) AS DOUBLE) AS rmse, CAST(printf('%.4f', r2) AS DOUBLE) AS r2, "
     f"CAST(printf('%.4f', mae) AS DOUBLE) AS mae, train_rows, test_rows FROM ({SITE_METRICS}) m",
     "rmse r2 mae",
 )
 def scan_metrics(t):
-    rows = _site_metrics(t)
-    text = rows.select(metrics.metrics_text(F.col("model"), F.col("target")).alias("value"))
-    return metrics.parse_metrics(text)
+    path = scratch_path(t.spark, "metrics-text")
+    metrics.write_metrics(_site_metrics(t), path, fmt="text")
+    return metrics.scan_metrics(t.spark, path)
 
 
 # ---------------------------------------------------------------- projections and filters

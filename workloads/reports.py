@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from envspark.defaults import CLASSES, UNKNOWN_CLASS
 from envspark.functions import calendar as cal
 from envspark.operators import aggregate as agg, align, distribution as dist
+from envspark.plans.enrich import wqi
 from envspark.sources.catalog import type_counts
 
 from .align import RAIN, _joined
@@ -33,6 +34,19 @@ def kpis(t):
     return agg.kpis(t.scored)
 
 
+# The rows of the newest days have no weather yet; their rainfall is unknown and stays out of the average.
+@query(
+    f"WITH r AS (SELECT wqi, row_number() OVER ({ORDERED}) AS rn FROM joined_scored WHERE wqi IS NOT NULL) "
+    "SELECT count(*) AS records, avg(wqi) AS avg_wqi, avg(ph) AS avg_ph, avg(turbidity) AS avg_turbidity, avg(rainfall) AS avg_rainfall, "
+    "count(*) * 1e0 / (date_diff('microsecond', min(timestamp), max(timestamp)) // 86400000000 + 1) AS records_per_day, "
+    "(SELECT wqi FROM r WHERE rn = 1) AS current_wqi, ((SELECT wqi FROM r WHERE rn = 1) - (SELECT wqi FROM r WHERE rn = 7)) * 1e2 / "
+    "nullif((SELECT wqi FROM r WHERE rn = 7), 0) AS change_pct FROM joined_scored WHERE wqi IS NOT NULL",
+    "avg_wqi avg_ph avg_turbidity avg_rainfall records_per_day current_wqi change_pct",
+)
+def kpis_with_rain(t):
+    return agg.kpis(wqi(_joined(t)).where("wqi IS NOT NULL"))
+
+
 @query(
     "SELECT d.c AS wqi_class, count(s.record_number) AS rows, count(s.record_number) * 1e2 / (SELECT count(*) FROM scored) AS pct "
     "FROM (VALUES ('Excellent'), ('Good'), ('Poor'), ('Very Poor'), ('Unknown')) d(c) LEFT JOIN scored s ON s.wqi_class = d.c GROUP BY d.c",
@@ -178,7 +192,7 @@ def null_totals(t):
 
 
 @query(
-    "SELECT data_type, count(*) AS columns FROM (VALUES " + ", ".join(f"('{k}')" for k in _TYPES.values()) + ") v(data_type) GROUP BY 1"
+    f"SELECT data_type, count(*) AS columns, CAST(sum(non_null) AS BIGINT) AS filled FROM ({_NULLS}) n GROUP BY 1"
 )
 def dtype_counts(t):
     return type_counts(t.readings)

@@ -53,6 +53,20 @@ def wqi_bands(t):
     return ops.wqi_bands(t.scored).drop("timestamp", "position")
 
 
+# Frames over rows that have an index; with gaps every seventh row no frame of ``wqi_bands`` is whole.
+_INDEXED = "(SELECT * FROM scored WHERE wqi IS NOT NULL) k"
+
+
+@query(
+    "SELECT record_number, wqi, m AS rolling_mean, s AS rolling_std, m + 1.96 * s AS upper, m - 1.96 * s AS lower FROM ("
+    f"SELECT record_number, wqi, {_rolled('wqi', '3 PRECEDING AND 3 FOLLOWING', 7)} AS m, "
+    f"{_rolled('wqi', '3 PRECEDING AND 3 FOLLOWING', 7, 'stddev_samp')} AS s FROM {_INDEXED}) x",
+    "wqi rolling_mean rolling_std upper lower",
+)
+def wqi_bands_known(t):
+    return ops.wqi_bands(t.scored.where("wqi IS NOT NULL")).drop("timestamp", "position")
+
+
 DAILY = "d AS (SELECT s.day, avg({c}) AS {c} FROM spine s LEFT JOIN readings r ON CAST(r.timestamp AS DATE) = s.day GROUP BY s.day)"
 BACK = "OVER (ORDER BY day ROWS UNBOUNDED PRECEDING)"
 AHEAD = "OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
@@ -85,7 +99,15 @@ def trailing_mean(t):
     f"SELECT record_number, {_rolled('wqi', '29 PRECEDING AND CURRENT ROW', 30, 'stddev_samp')} AS rolling_std FROM scored", "rolling_std"
 )
 def volatility(t):
-    return ops.volatility(t.scored.withColumn("wqi", F.col("wqi"))).select("record_number", "rolling_std")
+    return ops.volatility(t.scored).select("record_number", "rolling_std")
+
+
+@query(
+    f"SELECT record_number, {_rolled('wqi', '29 PRECEDING AND CURRENT ROW', 30, 'stddev_samp')} AS rolling_std FROM {_INDEXED}",
+    "rolling_std",
+)
+def volatility_known(t):
+    return ops.volatility(t.scored.where("wqi IS NOT NULL")).select("record_number", "rolling_std")
 
 
 @query(

@@ -131,6 +131,7 @@ SQL_VIEWS = {
     "weather_days": weather_daily_sql("weather"),
     "joined": "SELECT r.*, w.* EXCLUDE (date), CAST(r.timestamp AS DATE) AS date "
     "FROM readings r LEFT JOIN weather_days w ON CAST(r.timestamp AS DATE) = w.date",
+    "joined_scored": index_sql("joined"),
     "daily_bounds": "SELECT min(CAST(timestamp AS DATE)) AS d0, max(CAST(timestamp AS DATE)) AS d1 FROM readings",
     "spine": "SELECT CAST(unnest(generate_series(d0, d1, INTERVAL 1 DAY)) AS DATE) AS day FROM daily_bounds",
 }
