@@ -18,6 +18,7 @@ from ..sources.catalog import numeric_columns
 from .clean import covered_columns
 from .scale import last_n, written
 from .series import chrono_split, lag_features
+from .topk import random_split
 
 # Feature list of the simple model, and settings of each model kind.
 SIMPLE_FEATURES = ("ph", "conductance", "temperature", "do_mgl", "salinity", "rainfall", "date_num")
@@ -155,10 +156,17 @@ def evaluate(
     kind: str,
     test: float = 0.2,
     order: Sequence[str] = ORDER,
+    split: str = "time",
     **settings,
 ) -> tuple[PipelineModel | None, DataFrame]:
-    """Train on the older rows, score the newer ones; the model and one metrics row."""
-    older, newer = chrono_split(df, test, order)
+    """Train on the older rows, score the newer ones; the model and one metrics row.
+
+    ``split="random"`` tells training and test rows apart by a hash of the last
+    column of ``order`` instead.
+    """
+    if split not in ("time", "random"):
+        raise ValueError(f"unknown split: {split}")
+    older, newer = chrono_split(df, test, order) if split == "time" else random_split(df, test, order[-1])
     model = train(older, target, features, kind, **settings)
     head = [F.lit(kind).alias("model"), F.lit(target).alias("target")]
     if model is None:

@@ -12,7 +12,9 @@ from .registry import query
 from .views import PARAMS
 
 FEATURES = ["ph", "conductance", "do_mgl"]
-QUICK = {"rf": {"trees": 50, "depth": 10, "min_rows": 2}, "gbt": {"iters": 20, "depth": 5}}
+# Model kinds of the interactive comparison.
+INTERACTIVE = ("rf_quick", "gbt_quick")
+MEMBERS = {"rf": ml.SETTINGS["rf_quick"], "gbt": ml.SETTINGS["gbt_quick"]}
 
 
 @query(
@@ -27,45 +29,43 @@ def prepare_features(t):
 
 
 def _prepared(t):
-    rows, features = ml.prepare_features(t.readings, "turbidity", features=FEATURES)
+    """All weather and sensor features with lags."""
+    rows, features = ml.prepare_features(_joined(t), "turbidity")
     return written(rows, "features"), features
 
 
 @query(None)
 def random_forest(t):
     rows, features = _prepared(t)
-    return ml.evaluate(rows, "turbidity", features, "rf_quick")[1]
+    return ml.evaluate(rows, "turbidity", features, "rf")[1]
 
 
 @query(None)
 def random_forest_simple(t):
-    rows, features = ml.simple_features(t.readings)
-    return ml.evaluate(written(rows, "features"), "turbidity", features, "rf", trees=30, depth=8)[1]
+    rows, features = ml.simple_features(_joined(t))
+    return ml.evaluate(written(rows, "features"), "turbidity", features, "rf", split="random")[1]
 
 
 @query(None)
 def gradient_boosting(t):
     rows, features = _prepared(t)
-    return ml.evaluate(rows, "turbidity", features, "gbt_quick", iters=20)[1]
+    return ml.evaluate(rows, "turbidity", features, "gbt_quick")[1]
 
 
 @query(None)
 def ensemble(t):
     rows, features = _prepared(t)
-    members = {"rf": QUICK["rf"], "gbt": {**QUICK["gbt"], "step": 0.1}}
-    return ml.evaluate(rows, "turbidity", features, "ensemble", members=members)[1]
+    return ml.evaluate(rows, "turbidity", features, "ensemble", members=MEMBERS)[1]
 
 
 @query(None)
 def compare_models(t):
-    kinds = {"rf": QUICK["rf"], "gbt": QUICK["gbt"]}
-    return ml.compare_models(t.readings, "turbidity", kinds, features=FEATURES)
+    return ml.compare_models(_joined(t), "turbidity", INTERACTIVE)
 
 
 @query(None)
 def recommend_trained(t):
-    kinds = {"rf": QUICK["rf"], "gbt": QUICK["gbt"]}
-    return ml.recommend(ml.compare_models(t.readings, "turbidity", kinds, features=FEATURES))
+    return ml.recommend(ml.compare_models(_joined(t), "turbidity", INTERACTIVE))
 
 
 @query(None)
@@ -77,7 +77,7 @@ def importance(t):
 @query(None)
 def batch_predict(t):
     rows, features = _prepared(t)
-    return ml.predict(ml.train(rows, "turbidity", features, "rf_quick", trees=20), rows).select(
+    return ml.predict(ml.train(rows, "turbidity", features, "rf_quick"), rows).select(
         "record_number", "turbidity", "prediction"
     )
 
@@ -86,7 +86,7 @@ def batch_predict(t):
 def model_save_load(t):
     rows, features = _prepared(t)
     path = scratch_path(t.spark, "model")
-    ml.save_model(ml.train(rows, "turbidity", features, "rf_quick", trees=10), path)
+    ml.save_model(ml.train(rows, "turbidity", features, "rf_quick"), path)
     return ml.regression_metrics(ml.predict(ml.load_model(path), rows), "turbidity")
 
 
