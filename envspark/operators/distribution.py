@@ -24,8 +24,11 @@ def box_stats(
     passes of one quantile search and one aggregate.
     """
     groups = groups or {"all": F.lit(True)}
-    value = F.col(column)
-    members = {g: F.when(p, value) for g, p in groups.items()}
+    return _boxes(df, {(g,): F.when(p, F.col(column)) for g, p in groups.items()}, (key,), whisker)
+
+
+def _boxes(df: DataFrame, members: Mapping[tuple, Column], keys: Sequence[str], whisker: float = 1.5) -> DataFrame:
+    """One box summary per member, its label parts as columns ``keys``; one quantile search for all."""
     quartiles = exact_quantiles(df, members, (0.25, 0.5, 0.75))
     structs = []
     for label, member in members.items():
@@ -34,7 +37,7 @@ def box_stats(
         inside = (member >= q1 - reach) & (member <= q3 + reach)
         structs.append(
             F.struct(
-                F.lit(label).alias(key),
+                *[F.lit(part).alias(k) for part, k in zip(label, keys)],
                 F.count(member).alias("n"),
                 F.min(member).alias("min"),
                 q1.alias("q1"),
@@ -172,14 +175,11 @@ def ridge_distribution(
     """Box summary of each parameter in each of the newest months that has enough values."""
     period = cal.month_period(F.col(timestamp))
     labels = recent_months(df, months, timestamp)
-    parts = []
-    for c in columns:
-        groups = {m: period == m for m in labels}
-        parts.append(box_stats(df, c, groups, "month").withColumn("parameter", F.lit(c)))
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union.where(F.col("n") >= min_values)
+    if not labels:
+        return box_stats(df.where(F.lit(False)), columns[0], key="month").withColumn("parameter", F.lit(""))
+    members = {(m, c): F.when(period == m, F.col(c)) for c in columns for m in labels}
+    rows = _boxes(df, members, ("month", "parameter")).where(F.col("n") >= min_values)
+    return rows.select(*[c for c in rows.columns if c != "parameter"], "parameter")
 
 
 def ridge_density(

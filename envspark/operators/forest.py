@@ -9,8 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .quantiles import exact_quantiles
-
 _EULER = 0.5772156649015329
 
 
@@ -108,7 +106,23 @@ def isolation_flag(
     seed: int = 42,
     key: str = "record_number",
 ) -> DataFrame:
-    """Flags the rows whose score lies above its ``1 - contamination`` quantile."""
+    """Flags the rows whose score lies above its ``1 - contamination`` quantile.
+
+    The forest is a step function, so the scores have at most one level per
+    interval between its cuts; rows are counted by level in one pass and the
+    quantile, interpolated linearly, is read from these counts.
+    """
     scored = isolation_scores(df, column, trees, sample, seed, key)
-    (cut,) = exact_quantiles(scored, ["score"], (1 - contamination,))["score"]
-    return scored.withColumn("anomaly", F.coalesce(F.col("score") > F.lit(cut), F.lit(False)))
+    levels = scored.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy("score").count().collect()
+    return scored.withColumn("anomaly", F.coalesce(F.col("score") > F.lit(_from_counts(levels, 1 - contamination)), F.lit(False)))
+
+
+def _from_counts(counted: list[tuple[float, int]], p: float) -> float | None:
+    """Quantile of values given with their numbers of rows; ``None`` without rows."""
+    if not counted:
+        return None
+    values, rows = (np.array(x) for x in zip(*sorted(counted)))
+    ends = np.cumsum(rows)
+    rank = p * (int(ends[-1]) - 1)
+    low, high = (float(values[np.searchsorted(ends, r, side="right")]) for r in (math.floor(rank), math.ceil(rank)))
+    return low + (high - low) * (rank - math.floor(rank))

@@ -4,7 +4,10 @@ Spark's ``percentile`` keeps every distinct value of a group in one buffer, and
 sketches are not exact. Here a sketch proposes a bracket around the wanted rank,
 counting proves it, and only when few enough values lie inside it does
 ``percentile`` run on those. Every step is one aggregate over the table that
-returns one row; nothing is sorted or shuffled.
+returns one row; nothing is sorted or shuffled. If the first proven brackets
+still hold too many values, these values alone are written and searched
+further, so the input is read three times whatever its size; again only where
+a sketch missed, which the counts show.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..defaults import ORDER
 from ..functions.calendar import micros
 from ..functions.numeric import bounded, count_if
+from .scale import written
 
 # Values that one exact ``percentile`` buffer may hold.
 EXACT_VALUES = 20_000
@@ -28,6 +32,10 @@ SKETCH_SIZE = 2_048
 SLACK = 0.004
 
 
+def _between(column: Column, low, high) -> Column:
+    return F.when(column.between(F.lit(low), F.lit(high)), column)
+
+
 @dataclass
 class _Search:
     """One wanted rank among the non-null values of a column; ``rank`` may be fractional."""
@@ -43,6 +51,9 @@ class _Search:
     distinct: float = math.inf
     answer: float | None = None
     slack: float = SLACK
+    #: Whether the bracket was written, and how many values lie below it then.
+    written: bool = False
+    left_out: int = 0
 
     @property
     def first(self) -> int:
@@ -55,8 +66,7 @@ class _Search:
     def values(self, low=None, high=None) -> Column:
         if low is None and self.inside == self.total:
             return self.column
-        low, high = (self.low, self.high) if low is None else (low, high)
-        return F.when(self.column.between(F.lit(low), F.lit(high)), self.column)
+        return _between(self.column, *((self.low, self.high) if low is None else (low, high)))
 
     def ready(self, limit: int) -> bool:
         return self.answer is not None or min(self.inside, self.distinct) <= limit
@@ -133,17 +143,43 @@ def _narrow(df: DataFrame, searches: list[_Search], limit: int, brackets: list |
     counts = _first_row(df, checks)
     for i, (s, (low, high)) in enumerate(zip(searches, brackets)):
         below, inside, distinct, last, following = counts[5 * i : 5 * i + 5]
-        s.accept(low, high, below, inside, math.inf if distinct is None else distinct, last, following)
+        s.accept(low, high, below + s.left_out, inside, math.inf if distinct is None else distinct, last, following)
+
 
+def _brackets(searches: Sequence[_Search]) -> dict[tuple, list[_Search]]:
+    """Searches by what they have left to look at; those that share it share one buffer."""
+    groups: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        groups.setdefault((id(s.column), s.low, s.high), []).append(s)
+    return groups
+
+
+def _write_brackets(df: DataFrame, groups: Sequence[list[_Search]]) -> DataFrame:
+    """Write the values inside the brackets; their searches go on with that table."""
+    cells = [F.struct(F.lit(i).alias("bracket"), g[0].values().alias("value")) for i, g in enumerate(groups)]
+    kept = df.select(F.explode(F.filter(F.array(*cells), lambda c: c["value"].isNotNull())).alias("c"))
+    kept = written(kept.select("c.bracket", "c.value"), "brackets")
+    for i, group in enumerate(groups):
+        column = F.when(F.col("bracket") == i, F.col("value"))
+        for s in group:
+            s.column, s.written, s.left_out = column, True, s.below
+    return kept
 
-def _search(df: DataFrame, searches: list[_Search], limit: int, proposed: dict[int, tuple] | None = None) -> None:
+
+def _search(df: DataFrame, searches: list[_Search], limit: int, proposed: dict[int, tuple] | None = None) -> DataFrame:
+    """Refine until every bracket is small enough; returns the table of written brackets, else ``df``."""
     waiting = [s for s in searches if not s.ready(limit)]
-    if waiting and proposed:
-        _narrow(df, waiting, limit, [proposed[id(s)] for s in waiting])
-        waiting = [s for s in waiting if not s.ready(limit)]
     while waiting:
-        _narrow(df, waiting, limit, None)
+        _narrow(df, waiting, limit, [proposed[id(s)] for s in waiting] if proposed else None)
+        proposed = None
         waiting = [s for s in waiting if not s.ready(limit)]
+        if waiting and not waiting[0].written:
+            small = [s for s in searches if s.ready(limit) and s.answer is None and s.inside <= limit]
+            groups = list(_brackets(waiting + small).values())
+            # No more is written than half a column.
+            if sum(g[0].inside for g in groups) <= max(s.total for s in waiting) / 2:
+                df = _write_brackets(df, groups)
+    return df
 
 
 def exact_quantiles(
@@ -181,19 +217,17 @@ def exact_quantiles(
             s = _Search(c, False, p * (total - 1), low, high, total, total, answer=low if low == high else None)
             proposed[id(s)] = (sketch[2 * j], sketch[2 * j + 1])
             searches[name].append(s)
-    _search(df, [s for group in searches.values() for s in group], limit, proposed)
-    # Searches that share a bracket share one ``percentile`` buffer.
-    groups: dict[tuple, list[_Search]] = {}
-    for name, group in searches.items():
-        for s in group:
-            if s.answer is None:
-                groups.setdefault((name, s.low, s.high), []).append(s)
-    if groups:
+    everyone = [s for group in searches.values() for s in group]
+    brackets = _search(df, everyone, limit, proposed)
+    for is_written, source in ((True, brackets), (False, df)):
+        groups = _brackets([s for s in everyone if s.answer is None and s.written == is_written])
+        if not groups:
+            continue
         finals = []
         for members in groups.values():
             spots = [(m.rank - m.below) / (m.inside - 1) if m.inside > 1 else 0.0 for m in members]
             finals.append(F.percentile(members[0].values(), F.array(*[F.lit(min(1.0, x)) for x in spots])))
-        for members, results in zip(groups.values(), _first_row(df, finals)):
+        for members, results in zip(groups.values(), _first_row(source, finals)):
             for s, value in zip(members, results):
                 s.answer = value
     return {n: [s.answer for s in group] or [None] * len(probabilities) for n, group in searches.items()}
@@ -203,9 +237,9 @@ def kth_value(df: DataFrame, column: Column, k: int, limit: int = EXACT_VALUES)
     """The value at 0-based rank ``k`` of a bigint column, and how many rows lie below it (runs actions)."""
     total, low, high = _first_row(df, [F.count(column), F.min(column), F.max(column)])
     s = _Search(column, True, k, low, high, total, total, answer=low if low == high else None)
-    _search(df, [s], limit)
+    df = _search(df, [s], limit)
     if s.answer is not None:
-        return int(s.answer), df.agg(count_if(column < F.lit(s.answer))).first()[0]
+        return int(s.answer), s.left_out + df.agg(count_if(s.column < F.lit(s.answer))).first()[0]
     # At most ``limit`` distinct values are left, so one window over their counts is bounded.
     counts = df.select(s.values().alias("v")).where("v IS NOT NULL").groupBy("v").count()
     before = F.coalesce(

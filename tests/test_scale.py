@@ -189,3 +189,28 @@ def test_site_numbers_stay_as_they_are(spark):
     )
     done = enrich(rows)
     assert dict(done.dtypes)["site"] == "int" and done.where("site IS NULL").count() == 1
+
+
+@pytest.mark.parametrize("rows", [10_000, 200_000])
+def test_quantiles_read_the_input_three_times(spark, rows, monkeypatch):
+    from envspark.operators import quantiles
+
+    df = spark.range(rows).select((F.xxhash64("id") / 1e6).alias("v"), F.pmod(F.xxhash64("id"), F.lit(9)).cast("double").alias("few"))
+    passes = []
+    plain_row, plain_write = quantiles._first_row, quantiles._write_brackets
+    monkeypatch.setattr(quantiles, "_first_row", lambda t, c: (passes.append("row") if t is df else None, plain_row(t, c))[1])
+    monkeypatch.setattr(quantiles, "_write_brackets", lambda t, g: (passes.append("write"), plain_write(t, g))[1])
+    got = quantiles.exact_quantiles(df, ["v", "few"], (0.05, 0.25, 0.5), limit=50)
+    want = df.agg(*[F.percentile(c, F.array(F.lit(0.05), F.lit(0.25), F.lit(0.5))) for c in ("v", "few")]).first()
+    np.testing.assert_allclose([got["v"], got["few"]], list(want), rtol=1e-12)
+    assert len(passes) <= 3 and "write" in passes
+
+
+def test_forest_cut_from_counts():
+    from envspark.operators.forest import _from_counts
+
+    values = [0.1] * 5 + [0.4] * 3 + [0.9] * 2
+    counted = [(0.9, 2), (0.1, 5), (0.4, 3)]
+    for p in (0.0, 0.5, 0.55, 0.8, 0.95, 1.0):
+        assert _from_counts(counted, p) == pytest.approx(float(np.quantile(values, p)))
+    assert _from_counts([], 0.5) is None
