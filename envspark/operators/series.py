@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..defaults import ORDER
+from ..functions import calendar as cal
 from .aggregate import daily_mean
 from .clean import last_days
 from .quantiles import first_rows
@@ -64,6 +65,34 @@ def volatility(df: DataFrame, rows: int = 30, column: str = "wqi", order: Sequen
     return rolling(df, column, rows=rows, stats=("std",), order=order)
 
 
+def rolling_days(
+    df: DataFrame, column: str, days: int, stats: Sequence[str] = ("mean",), timestamp: str = "timestamp", site: str | None = None
+) -> DataFrame:
+    """Mean and/or std over all readings of each known day and the ``days - 1`` calendar days before it.
+
+    Readings are summed up per day first, so the windows run over one row per
+    day and a busy day costs no more than a quiet one. A day whose window holds
+    no value has NULL (one value: NULL std); readings without timestamp belong
+    to no day.
+    """
+    sites = [site] if site else []
+    daily = (
+        df.where(F.col(timestamp).isNotNull())
+        .groupBy(*sites, cal.day(F.col(timestamp)).alias("day"))
+        .agg(F.count(column).alias("_n"), F.avg(column).alias("_m"), F.var_samp(column).alias("_v"))
+    )
+    frame = Window.partitionBy(*sites).orderBy(F.unix_date("day")).rangeBetween(-(days - 1), 0)
+    n = F.sum("_n").over(frame)
+    mean = F.sum(F.col("_n") * F.col("_m")).over(frame) / F.nullif(n, F.lit(0))
+    # Squares inside the days, and those of the day means around the mean of the window.
+    within = F.coalesce(F.sum((F.col("_n") - 1) * F.coalesce("_v", F.lit(0.0)) * F.sign("_n")).over(frame), F.lit(0.0))
+    known = F.collect_list(F.when(F.col("_n") > 0, F.struct("_n", "_m"))).over(frame)
+    between = F.aggregate(known, F.lit(0.0), lambda total, d: total + d["_n"] * F.pow(d["_m"] - mean, F.lit(2.0)))
+    std = F.when(n > 1, F.sqrt((within + between) / F.nullif(n - 1, F.lit(0))))
+    made = {"mean": mean, "std": std}
+    return daily.select(*sites, "day", *[made[s].alias(f"rolling_{s}") for s in stats])
+
+
 def lag_features(
     df: DataFrame,
     target: str,
@@ -79,6 +108,20 @@ def lag_features(
     return blocked_window(df, columns, lags, 0, order, site, block_rows).drop("position")
 
 
+def class_transitions(
+    df: DataFrame, column: str = "wqi_class", order: Sequence[str] = ORDER, site: str | None = None, block_rows: int | None = None
+) -> DataFrame:
+    """``source, target, rows``: how often one class follows another in row order; the first row follows none.
+
+    NULL is a class of its own.
+    """
+    sites = [site] if site else []
+    # A struct tells a NULL class from the lack of a row before.
+    slim = df.select(*sites, *order, F.struct(F.col(column).alias("c")).alias("at"))
+    followed = lag_features(slim, "at", 1, order, site, block_rows).where(F.col("at_lag_1").isNotNull())
+    return followed.groupBy(F.col("at_lag_1.c").alias("source"), F.col("at.c").alias("target")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def sequences(
     df: DataFrame,
     column: str,

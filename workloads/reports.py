@@ -292,7 +292,15 @@ def kde(t):
     return dist.kde(t.readings, "turbidity")
 
 
-@query(None)
+@query(
+    "WITH s AS (SELECT min(conductance) AS lo, max(conductance) AS hi, (max(conductance) - min(conductance)) / 4096 AS width, "
+    "(max(conductance) - min(conductance)) / 199 AS step, stddev_samp(conductance) * pow(count(conductance), -0.2) AS h, count(conductance) AS n FROM readings_big), "
+    "b AS (SELECT lo + (least(floor((conductance - lo) / width), 4095) + 5e-1) * width AS x, count(*) AS w "
+    "FROM readings_big, s WHERE conductance IS NOT NULL GROUP BY 1), g AS (SELECT unnest(range(200)) AS i) "
+    "SELECT CAST(i AS INTEGER) AS point, any_value(lo + step * i) AS x, "
+    "sum(w * exp(-0.5 * pow((lo + step * i - b.x) / h, 2))) / any_value(n * h * sqrt(2 * pi())) AS density FROM g CROSS JOIN s CROSS JOIN b GROUP BY i",
+    "x density",
+)
 def kde_binned(t):
     return dist.kde(t.readings_big, "conductance", binned=True)
 

@@ -67,6 +67,34 @@ def wqi_bands_known(t):
     return ops.wqi_bands(t.scored.where("wqi IS NOT NULL")).drop("timestamp", "position")
 
 
+def _over_days(column: str, days: int, by: str = "") -> str:
+    same = f"AND r.{by} IS NOT DISTINCT FROM d.{by} " if by else ""
+    keys = f"{by}, " if by else ""
+    return (
+        f"SELECT {keys}day, avg(v) AS rolling_mean, stddev_samp(v) AS rolling_std FROM (SELECT d.*, r.{column} AS v FROM "
+        f"(SELECT DISTINCT {keys}CAST(timestamp AS DATE) AS day FROM readings WHERE timestamp IS NOT NULL) d "
+        f"JOIN readings r ON CAST(r.timestamp AS DATE) BETWEEN d.day - {days - 1} AND d.day {same}) x GROUP BY ALL"
+    )
+
+
+@query(_over_days("conductance", 7), "rolling_mean rolling_std")
+def rolling_seven_days(t):
+    return ops.rolling_days(t.readings, "conductance", 7, ("mean", "std"))
+
+
+@query(_over_days("ph", 30, "site"), "rolling_mean rolling_std")
+def rolling_thirty_days_by_site(t):
+    return ops.rolling_days(t.readings, "ph", 30, ("mean", "std"), site="site")
+
+
+@query(
+    f"SELECT was AS source, wqi_class AS target, count(*) AS rows FROM (SELECT wqi_class, lag(wqi_class) OVER ({W}) AS was, "
+    f"row_number() OVER ({W}) AS k FROM scored) x WHERE k > 1 GROUP BY 1, 2"
+)
+def class_transitions(t):
+    return ops.class_transitions(t.scored)
+
+
 DAILY = "d AS (SELECT s.day, avg({c}) AS {c} FROM spine s LEFT JOIN readings r ON CAST(r.timestamp AS DATE) = s.day GROUP BY s.day)"
 BACK = "OVER (ORDER BY day ROWS UNBOUNDED PRECEDING)"
 AHEAD = "OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"

@@ -132,9 +132,19 @@ def t_test(t):
     return hypothesis.t_test(t.readings, "turbidity", p_value=False)
 
 
-@query(None)
+# 30 known values on either side leave 58 degrees of freedom; for an even number the p value is a finite sum.
+@query(
+    _T_TEST.replace("FROM readings)", "FROM readings WHERE turbidity IS NOT NULL)")
+    + ", t AS (SELECT n1, n2, m1, m2, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1e0 / n1 + 1e0 / n2)) AS t, "
+    "n1 + n2 - 2 AS f FROM a), "
+    "p AS (SELECT any_value(n1) AS n_recent, any_value(n2) AS n_historical, any_value(m1) AS mean_recent, any_value(m2) AS mean_historical, "
+    "any_value(t) AS t_statistic, 1 - any_value(abs(t) / sqrt(f + t * t)) * "
+    "sum(exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) + CASE WHEN k = 0 THEN 0 ELSE k * ln(f / (f + t * t) / 4) END)) AS p_value "
+    "FROM t, (SELECT unnest(range(29)) AS k) s) SELECT *, p_value < 0.05 AS significant FROM p",
+    "mean_recent mean_historical t_statistic p_value",
+)
 def t_test_p_value(t):
-    return hypothesis.t_test(t.readings, "turbidity")
+    return hypothesis.t_test(t.readings.where("turbidity IS NOT NULL"), "turbidity")
 
 
 @query(
