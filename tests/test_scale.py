@@ -214,3 +214,32 @@ def test_forest_cut_from_counts():
     for p in (0.0, 0.5, 0.55, 0.8, 0.95, 1.0):
         assert _from_counts(counted, p) == pytest.approx(float(np.quantile(values, p)))
     assert _from_counts([], 0.5) is None
+
+
+def test_rolling_days_counts_days_not_rows(spark):
+    from envspark.operators.series import rolling_days
+
+    rows = [(datetime(2024, 1, d, h), s, v) for d, h, s, v in [
+        (1, 1, "a", 1.0), (1, 2, "a", 3.0), (2, 1, "a", None), (3, 1, "a", 8.0), (9, 1, "a", 5.0), (1, 1, None, 7.0), (20, 1, None, None),
+    ]] + [(None, "a", 100.0)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, site string, v double")
+    got = {(r.site, r.day.day): (r.rolling_mean, r.rolling_std) for r in rolling_days(df, "v", 3, ("mean", "std"), site="site").collect()}
+    root = float(np.std([1, 3, 8], ddof=1))
+    want = {("a", 1): (2.0, 2**0.5), ("a", 2): (2.0, 2**0.5), ("a", 3): (4.0, root), ("a", 9): (5.0, None), (None, 1): (7.0, None), (None, 20): (None, None)}
+    assert got.keys() == want.keys()
+    for key, (mean, std) in want.items():
+        assert got[key] == (mean if mean is None else pytest.approx(mean), std if std is None else pytest.approx(std))
+
+
+def test_class_transitions_cross_blocks(spark):
+    from envspark.operators.series import class_transitions
+
+    classes = [["Good", "Poor", None][i * i % 3] for i in range(50)] + ["Poor", "Poor"]
+    rows = [(datetime(2024, 1, 1) + timedelta(hours=i // 2), i, c) for i, c in enumerate(classes)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, record_number bigint, wqi_class string").repartition(4)
+    got = {(r.source, r.target): r.rows for r in class_transitions(df, block_rows=7).collect()}
+    want = {}
+    for pair in zip(classes, classes[1:]):
+        want[pair] = want.get(pair, 0) + 1
+    assert got == want
+    assert class_transitions(df.limit(0)).count() == 0
