@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, licenses, mixing, ngram_lm, onebit_search, simhash, token_store, toxicity, url_filter
+from . import decontaminate, language, licenses, mixing, ngram_lm, onebit_search, simhash, token_store, toxicity, url_filter, word_lm
 from .common import fold_of, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -62,7 +62,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score(table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), ngram_lm.FOLDS))
+    return word_lm.score(table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), ngram_lm.FOLDS))
 
 
 QUERIES = {
