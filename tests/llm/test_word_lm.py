@@ -64,6 +64,17 @@ def test_query_tells_a_seldom_word_from_one_never_seen(spark, tmp_path):
     assert got[ids[0].id].score > got[ids[1].id].score + 0.3
 
 
+def test_one_entry_a_block_for_a_frequent_pair():
+    rows = [(i, 0, 1, b"same " * 5_000) for i in range(40)]
+    sent = list(word_lm._asked(4)(0, rows))
+    pairs = sum(len(word_lm._keys_of(keys[1])) for _, (_, keys, _) in sent)
+    assert len(list(word_lm.blocks_of(rows))) == 1 and pairs == 3
+    back = [m for p in range(4) for m in word_lm._answered(s for s in sent if s[0] == p)]
+    assert sum(c for _, (kind, c) in back if kind == "distinct") == 2
+    counts = [word_lm.unpacked(c[2])[2 * c[1] :].reshape(2, -1)[0] for _, (kind, c) in back if kind == "counts"]
+    assert sorted(np.concatenate(counts).tolist()) == [40, 40, 40 * 4_999]
+
+
 def test_packed_numbers():
     for values in ([], [0], [0, 0], [1, 255], [256, 3], [2**63 + 5, 0, 2**40]):
         for low in (True, False):
