@@ -28,6 +28,10 @@ FUNCTION_WORDS = {
     "es": "el los las y del que en un por con una para es al lo como más pero sus se su",
 }
 OTHER = "other"
+#: Stands for every text; its threshold serves languages with few toxic ones.
+ALL = "all"
+#: Bins of the threshold search for one unit of log odds.
+BINS = 100
 _VOTES: dict[bytes, list[str]] = {}
 for _lang, _words in FUNCTION_WORDS.items():
     for _w in _words.split():
@@ -109,7 +113,7 @@ class ToxicityModel:
 
     def calibrated(self, raw: np.ndarray, langs: list[str]) -> np.ndarray:
         """Raw scores stretched on both sides of the language's threshold, which becomes ``CUT``."""
-        cut = np.array([self.cuts.get(x, self.cuts[OTHER]) for x in langs])
+        cut = np.array([self.cuts.get(x, self.cuts[ALL]) for x in langs])
         low, high = CUT * raw / cut, CUT + (1 - CUT) * (raw - cut) / (1 - cut)
         # Rounding must not lift a score over the cut.
         return np.where(raw >= cut, np.clip(high, CUT, 1), np.clip(low, 0, np.nextafter(CUT, 0)))
@@ -136,12 +140,19 @@ def _init(table: np.ndarray, at: np.ndarray, lengths: np.ndarray, y: np.ndarray,
         filters[w][:, 0, : FILTERS // 2] = 1.0
     out = rng.normal(0, 0.1, len(WIDTHS) * FILTERS)
     out[: FILTERS // 2] = 0.5
-    return ToxicityModel(embedding, filters, out.astype(np.float32), -1.0, {OTHER: 0.5})
+    return ToxicityModel(embedding, filters, out.astype(np.float32), -1.0, {ALL: 0.5})
 
 
-def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str], epochs: int = EPOCHS, seed: int = 3) -> ToxicityModel:
+#: Weight and number of labelled texts by language, bin of the raw score, and label.
+Cells = dict[tuple[str, int, int], tuple[float, int]]
+
+
+def train(
+    texts: list[np.ndarray], y: np.ndarray, langs: list[str], epochs: int = EPOCHS, seed: int = 3
+) -> tuple[ToxicityModel, Cells]:
     """Train on labelled texts, each an array of words, a word its three buckets in one number; a fifth is kept for the thresholds.
 
+    The cells hold that fifth, weighted to stand for all texts of its class.
     Without texts of both classes the score is the share of class 1.
     """
     rng = np.random.default_rng(seed)
@@ -163,7 +174,7 @@ def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str], epochs: int
         model.out[:] = 0
         share = float(np.clip(y.mean() if len(y) else 0, 0.01, 0.99))
         model.bias = float(np.log(share / (1 - share)))
-        return model
+        return model, {}
     model.training = True
     weights = [model.embedding, *model.filters.values(), model.out]
     squares = [np.full_like(w, 1e-4) for w in weights]
@@ -211,27 +222,39 @@ def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str], epochs: int
     judged = np.flatnonzero(kept) if kept.any() else learn
     judged = np.concatenate([judged[:0], judged])
     raw = np.concatenate([model.raw(table, *part(b)) for b in np.array_split(judged, -(-len(judged) // 256))])
-    model.cuts = thresholds(raw, y[judged], [langs[i] for i in judged])
-    return model
-
-
-def thresholds(raw: np.ndarray, y: np.ndarray, langs: list[str], least: int = 20) -> dict[str, float]:
-    """For each language the raw score, half-way between neighbours, of the best F1; languages with few toxic texts take that of all."""
-
-    def best(r: np.ndarray, t: np.ndarray) -> float:
-        order = np.argsort(-r, kind="stable")
-        r, t = r[order], t[order]
-        f1 = 2 * np.cumsum(t) / (np.arange(1, len(t) + 1) + t.sum())
-        f1[:-1][r[:-1] == r[1:]] = -1  # no cut between equal scores
-        at = int(np.argmax(f1))
-        return float(np.clip((r[at] + (r[at + 1] if at + 1 < len(r) else 0)) / 2, 1e-3, 1 - 1e-3))
-
-    cuts = {OTHER: best(raw, y) if 0 < y.sum() else 0.5}
-    groups = np.array(langs)
-    for lang in sorted(set(langs) - {OTHER}):
-        mine = groups == lang
-        if y[mine].sum() >= least:
-            cuts[lang] = best(raw[mine], y[mine])
+    cells: Cells = {}
+    for i, at_bin in zip(judged.tolist(), bins_of(raw).tolist()):
+        weight, n = cells.get((langs[i], at_bin, int(y[i])), (0.0, 0))
+        cells[langs[i], at_bin, int(y[i])] = weight + float((y == y[i]).sum() / (y[judged] == y[i]).sum()), n + 1
+    return model, cells
+
+
+def bins_of(raw: np.ndarray) -> np.ndarray:
+    """Bins of raw scores, even in the log odds."""
+    raw = np.clip(raw.astype(np.float64), 1e-9, 1 - 1e-9)
+    return np.floor(np.log(raw / (1 - raw)) * BINS).astype(np.int64)
+
+
+def thresholds(cells: Cells, least: int = 20) -> dict[str, float]:
+    """For each language the raw score, half-way between neighbouring bins, of the best F1; languages with few toxic texts take that of all."""
+
+    def best(mine: list[tuple]) -> float:
+        of_bin: dict[int, list[float]] = {}
+        for (_, at_bin, toxic), (weight, _) in mine:
+            of_bin.setdefault(at_bin, [0.0, 0.0])[toxic] += weight
+        order = sorted(of_bin, reverse=True)
+        none, some = np.cumsum([of_bin[b] for b in order], axis=0).T
+        at = int(np.argmax(2 * some / (none + some + some[-1])))
+        edge = lambda b: 1 / (1 + np.exp(-b / BINS))
+        below = edge(order[at + 1] + 1) if at + 1 < len(order) else 0
+        return float(np.clip((edge(order[at]) + below) / 2, 1e-3, 1 - 1e-3))
+
+    rows = sorted(cells.items())
+    cuts = {ALL: best(rows) if any(toxic for (_, _, toxic), _ in rows) else 0.5}
+    for lang in sorted({lang for lang, _, _ in cells}):
+        mine = [r for r in rows if r[0][0] == lang]
+        if sum(n for (_, _, toxic), (_, n) in mine if toxic) >= least:
+            cuts[lang] = best(mine)
     return cuts
 
 
@@ -239,8 +262,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, fit_rows: int =
     """Train on up to ``fit_rows`` rows of each class among the rows of ``labels`` (``doc_id, toxic``) where ``learn_from`` holds.
 
     The rows are those of least hash of the id; they are the only ones whose
-    words leave Spark, as hash buckets. An id labelled both ways or more than
-    once counts as toxic if any label says so.
+    words leave Spark, as hash buckets. The thresholds are from all labelled
+    rows where ``learn_from`` holds: those outside the sample are scored in
+    Spark and counted by language, bin of the score and label; a fifth of the
+    sample, not learned from, stands for the sample, so classes keep their
+    ratio. An id labelled both ways or more than once counts as toxic if any
+    label says so.
     """
     known = labels.where(learn_from & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
@@ -263,7 +290,41 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, fit_rows: int =
     got = map_rows(asked, rows, "id long, toxic int, lang string, cells binary").collect()
     got.sort(key=lambda r: (r.id, r.cells))
     cells = [np.frombuffer(r.cells, "<u8") for r in got]
-    return train(cells, np.array([r.toxic for r in got], np.int64), [r.lang for r in got], epochs)
+    model, judged = train(cells, np.array([r.toxic for r in got], np.int64), [r.lang for r in got], epochs)
+    if not judged:
+        return model
+
+    def bins(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            raw, langs = _raw_scores(b["text"], model)
+            yield {"id": b["_id"], "lang": langs, "bin": bins_of(raw)}
+
+    # Texts are not shuffled: all rows with an id are scored, and their bins meet the labels.
+    asked = docs.select(F.col("doc_id").cast("long").alias("_id"), text_bytes().alias("text")).where("_id IS NOT NULL")
+    scored = map_rows(asked, bins, "id long, lang string, bin long").groupBy("id", "lang", "bin").count()
+    others = known.join(F.broadcast(chosen.select("_id")), "_id", "left_anti")
+    found = scored.join(others, scored.id == others._id).groupBy("lang", "bin", "_toxic").agg(F.sum("count").alias("n"))
+    # Bounded by languages, bins and labels.
+    for r in found.collect():
+        weight, n = judged.get((r.lang, r.bin, r._toxic), (0.0, 0))
+        judged[r.lang, r.bin, r._toxic] = weight + r.n, n + r.n
+    model.cuts = thresholds(judged)
+    return model
+
+
+def _raw_scores(texts: list[bytes | None], model: ToxicityModel) -> tuple[np.ndarray, list[str]]:
+    """Raw scores and languages of texts, some 200,000 words at a time."""
+    found, langs = [np.zeros(0)], []
+    held: list[list[bytes]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        held.append(letter_words(t))
+        size += len(held[-1])
+        if size > 200_000 or i == len(texts) - 1:
+            found.append(model.raw(*word_index(held)))
+            langs += [language_of(w) for w in held]
+            held, size = [], 0
+    return np.concatenate(found), langs
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: dict[str, Column]) -> DataFrame:
@@ -271,16 +332,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: dict[str, Column]) -> Dat
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            texts, scores = b.pop("text"), []
-            held: list[list[bytes]] = []
-            size = 0
-            for i, t in enumerate(texts):
-                held.append(letter_words(t))
-                size += len(held[-1])
-                if size > 200_000 or i == len(texts) - 1:
-                    raw = model.raw(*word_index(held))
-                    scores += model.calibrated(raw, [language_of(w) for w in held]).tolist()
-                    held, size = [], 0
+            scores = model.calibrated(*_raw_scores(b.pop("text"), model))
             yield b | {"score": scores}
 
     asked = docs.select(*[c.alias(n) for n, c in keep.items()], text_bytes().alias("text"))
