@@ -46,7 +46,7 @@ STAGES = [
     ("tokens", write_token_files),
 ]
 
-#: Training, fingerprints and tokenizing have no SQL; the tests compare with a brute-force version.
+#: Training, fingerprints and tokenizing have no SQL. The tests compare the operators, one by one, with brute-force versions; not these stages in a row.
 ORACLE_SQL = None
 
 
