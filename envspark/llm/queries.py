@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, licenses, mixing, ngram_lm, onebit_search, simhash, token_store, toxicity, url_filter, word_lm
+from . import (
+    decontaminate, language, licenses, mixing, ngram_lm, onebit_search, periodic_runs, secret_scan, simhash, token_alignment, token_store,
+    toxicity, url_filter, word_lm,
+)
 from .common import fold_of, table
 
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,10 +69,52 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_lm.score(table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), ngram_lm.FOLDS))
 
 
+def _sha256(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.fit(docs))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(number, secret_scan.KINDS),
+        _sha256(written(F.filter("spans", lambda s: s["kind"] != secret_scan.LEARNED))).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; where crc32 of the id ends in 0, the words from some place on repeat those that begin there, as op12's contract says."""
+    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    cut = kept.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.expr("nullif(cardinality(w), 0)")).withColumn("g", F.expr("h div 10"))
+    placed = cut.withColumn("a", F.expr("if(n > 0, g % n, null)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, get(w, cast(a + (i - a) % p as int)))), ' ')")
+    return placed.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.scan(with_planted_period(table(spark, sf_dir, "documents")))
+    best = F.col("strongest")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        _sha256(F.array_join(lines, "")).alias("runs_sha256"), _sha256(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.agreement(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_nearest, op3_licenses, op4_mixing, op5_language, op6_tokens, op7_toxicity, op8_decontamination, op9_urls, op10_lm,
+        op11_secrets, op12_periods, op13_alignment,
     )
 }
 
