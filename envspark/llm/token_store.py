@@ -23,7 +23,7 @@ BLOCK_IDS = 65_536
 END_ID = 2
 MAGIC = b"PLN1"
 #: About so many distinct words a worker keeps the ids of, those met since it last had so many, and as many before.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 250_000
 _HEAD = struct.Struct("<4sBBHI")
 
 
@@ -71,61 +71,89 @@ def _byte_letters() -> list[str]:
 
 
 class WordEncoder:
-    """Token ids of whole texts, each distinct white-space-delimited piece encoded once.
+    """Token ids of whole texts, each distinct word encoded once.
 
-    Right for vocabularies whose pre-tokenizer never joins pieces across white
-    space and drops the white space, as ``word_bpe`` files do. Where the file
-    normalises and splits as ``_KNOWN`` says, pieces of ASCII and Latin-1
-    letters are lower-cased and split here and only their parts go to the
-    library's model; anything else takes the library's whole path.
+    Where the file normalises and splits as ``_KNOWN`` says, texts of ASCII and
+    Latin-1 letters are lower-cased and split here, and only the parts of new
+    words go to the library's model; other texts go to the library by pieces
+    between white space, which such files never join. With any other file the
+    library gets whole texts.
     """
 
-    # The file's own pattern, and what it comes to for the characters of ``_PLAIN``.
-    _KNOWN = (
-        ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"],
-        r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
-    )
-    _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    # The file's own steps, and what its pattern comes to for the characters of ``_PLAIN``.
+    _KNOWN = {
+        "normalizer": {
+            "type": "Sequence",
+            "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+        },
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {
+                    "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                    "behavior": "Removed", "invert": True,
+                },
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        "truncation": None, "padding": None,
+    }
+    _PLAIN = re.compile(r"[ \t\n\r\x0b\x0c!-~À-ÖØ-öø-ÿ]*")
+    _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9ß-öø-ÿ]+")
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
+        self.model = self.tokenizer.model
         shape = json.loads(self.tokenizer.to_str())
-        steps = lambda x, of: [s["type"] for s in (x or {}).get(of, [])]
-        splits = (shape["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        found = (steps(shape["normalizer"], "normalizers"), steps(shape["pre_tokenizer"], "pretokenizers"), splits[0].get("pattern", {}).get("Regex"))
-        self.short_way = found == self._KNOWN
-        self.special = tuple(t["content"] for t in shape["added_tokens"])
+        special = shape["added_tokens"]
+        # Special tokens are met as they are written, before the text is normalised.
+        self.short_way = all(shape[k] == v for k, v in self._KNOWN.items()) and not any(
+            t["normalized"] or t["lstrip"] or t["rstrip"] or len(t["content"].split()) != 1 for t in special
+        )
+        self.special = tuple(t["content"] for t in special)
         self.letters = {i: c for i, c in enumerate(_byte_letters())}
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encoded(self, word: bytes) -> bytes:
-        text = word.decode()
-        if not self.short_way or not self._PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        return b"".join([self.parts.get(p) or self._part(p) for p in self._PARTS.findall(text.lower())])
-
-    def _part(self, part: str) -> bytes:
-        if len(self.parts) > self.cached:
-            self.parts.clear()
-        letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters)])
-        self.parts[part] = ids
-        return ids
+        self.known = _Known(self, {})
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of a lower-case word between white space, or of a piece of any other text with a space before it."""
+        if word[0] == " ":
+            return self.library(word[1:])
+        parts = self._PARTS.findall(word)
+        if parts != [word]:
+            return b"".join(map(self.known.__getitem__, parts))
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        words = text.split() if text else []
-        young, old = self.young, self.old
-        for w in set(words).difference(young):
-            young[w] = old.get(w) or self._encoded(w)
-        ids = np.frombuffer(b"".join(map(young.__getitem__, words)), np.uint32)
-        if len(young) > self.cached:  # words not met since the last time go
-            self.young, self.old = {}, young
+        shown = text.decode() if text else ""
+        if not self.short_way:
+            return np.frombuffer(self.library(shown), np.uint32)
+        if self._PLAIN.fullmatch(shown) and not any(s in shown for s in self.special):
+            words = shown.lower().split()
+        else:
+            words = [" " + w.decode() for w in text.split()]
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32)
+        if len(self.known) > self.cached:
+            self.known.before = {}
+            self.known = _Known(self, self.known)
+        return ids
+
+
+class _Known(dict):
+    """Ids of words as bytes, encoded when first met; what ``before`` knows is taken from there."""
+
+    def __init__(self, encoder: WordEncoder, before: dict[str, bytes]):
+        self.encoder, self.before = encoder, before
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.pop(word, None)
+        ids = self[word] = self.encoder.word(word) if ids is None else ids
         return ids
 
 
