@@ -64,6 +64,23 @@ def text_bytes(column: str = "text") -> Column:
     return F.col(column).cast("string").cast("binary")
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores added until no column of ``df`` has them, so that a caller's columns are left alone."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash of all columns of a row; maps, which Spark doesn't hash, count as JSON."""
+    cells = [F.to_json(F.struct(f"`{n}`")) if "map<" in kind else F.col(f"`{n}`") for n, kind in df.dtypes]
+    return F.xxhash64(*cells)
+
+
 def fold_of(key: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids are in no fold."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds))

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import staged
+from .common import spare_names, staged
 
 WINDOW = 13
 #: Terms that one pass over the corpus looks for; they are broadcast, more terms take more passes.
@@ -161,8 +161,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    i, h = spare_names(docs, "bad_id", "bad_hash")
+    bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h))
     bad = staged(bad.distinct(), "contaminated").alias("b")
-    rows = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string"))).alias("d")
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("b._id")) & (F.col("d._h") == F.col("b._hash"))
+    rows = docs.withColumn(h, F.xxhash64(F.col("text").cast("string"))).alias("d")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col(f"b.{i}")) & (F.col(f"d.{h}") == F.col(f"b.{h}"))
     return rows.join(bad, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from itertools import takewhile
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -142,7 +144,7 @@ class LicenceAutomaton:
 
         Matches of one template are chained where both sides go forward and at
         most ``most_gap`` words lie between. A chain that covers ``least_cover``
-        of the template's words is a span.
+        of the template's words is a span, unless one of greater cover overlaps it.
         """
         by_text: dict[int, list[tuple[int, int, int]]] = {}
         for last, held, state in matches:
@@ -155,16 +157,19 @@ class LicenceAutomaton:
             best: list[tuple[int, int, int, int]] = []  # covered, first word, last word, last template word
             for last, end, held in sorted(parts):
                 cover, first = held, last - held + 1
-                for c, f, at, tpl in best[-8:]:
+                # Only chains that end within the gap of this match's beginning can go on with it.
+                for c, f, at, tpl in takewhile(lambda b: b[2] >= last - held - most_gap, reversed(best)):  # noqa: B023
                     new = min(held, last - at, end - tpl)
                     if new > 0 and last - new - at <= most_gap and end - new - tpl <= most_gap and c + new > cover:
                         cover, first = c + new, f
                 best.append((cover, first, last, end))
-            done = -1
+            kept: list[tuple[int, int]] = []  # in order, none overlaps another
             for cover, first, last, _ in sorted(best, key=lambda x: (-x[0], x[1])):
-                if cover >= least_cover * size and first > done:
+                at = bisect_left(kept, (first, last))
+                free = (not at or kept[at - 1][1] < first) and (at == len(kept) or last < kept[at][0])
+                if cover >= least_cover * size and free:
                     found.append({"label": label, "first": first, "last": last, "cover": cover / size})
-                    done = last
+                    kept.insert(at, (first, last))
         return found
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import staged
+from .common import row_hash, spare_names, staged
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -80,21 +80,22 @@ def source_targets(
     return table.select("source", "source_size", wanted.cast("double").alias("target"))
 
 
-def copies_by_document(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
+def copies_by_document(docs: DataFrame, seed: int = SEED, told: Column | None = None, **shares) -> DataFrame:
     """``docs`` (``doc_id, source, text``) as ``doc_id, source, text_hash, size, source_size, target, copies``.
 
     Every row of a source has ``target / source_size`` expected copies. They are
     summed up along the source in order of size and id, one offset is added,
     and a row is emitted once for each whole number its sum passes. The order
     by size keeps the words taken within about one document of the target.
-    Rows of equal id and size count one by one; a source of size 0 emits nothing.
+    Rows of equal id and size count one by one, in order of ``text_hash``: ``told``,
+    or else the text's hash. A source of size 0 emits nothing.
     """
     # Written as numbers before the order is sought, so texts are read once and move nowhere.
     sizes = staged(
         docs.select(
             F.col("doc_id").cast("long"),
             F.col("source").cast("string"),
-            F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+            (F.xxhash64(F.col("text").cast("string")) if told is None else told).alias("text_hash"),
             n_words().alias("size"),
         ),
         "sizes",
@@ -111,22 +112,21 @@ def copies_by_document(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame
 
 
 def mix(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
-    """``docs`` with every row repeated as often as its copies say, rows of 0 copies left out."""
-    counted = staged(
-        copies_by_document(docs, seed, **shares)
-        .where("copies > 0")
-        # Rows alike in id, source and text are told apart by nothing, so their copies may be added.
-        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"))
-        .agg(F.sum("copies").alias("_copies")),
-        "copies",
-    )
-    rows = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string"))).alias("d")
+    """``docs`` with every row repeated as often as its copies say, rows of 0 copies left out.
+
+    Rows that share an id are told apart by all their columns; rows alike in all
+    of them stand for each other, so their copies are added.
+    """
+    i, s, h, n, k = spare_names(docs, "mixed_id", "mixed_source", "mixed_hash", "mixed_copies", "mixed_copy")
+    told = row_hash(docs)
+    counted = copies_by_document(docs, seed, told, **shares).where("copies > 0")
+    counted = counted.groupBy(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("text_hash").alias(h)).agg(F.sum("copies").alias(n))
+    rows = docs.withColumn(h, told).alias("d")
     joined = rows.join(
-        counted.alias("c"),
-        F.col("d.doc_id").cast("long").eqNullSafe(F.col("c._id"))
-        & F.col("d.source").cast("string").eqNullSafe(F.col("c._source"))
-        & (F.col("d._h") == F.col("c._hash")),
-    )
-    once = joined.dropDuplicates(["_id", "_source", "_hash"])
-    many = once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+        staged(counted, "copies").alias("c"),
+        F.col("d.doc_id").cast("long").eqNullSafe(F.col(f"c.{i}"))
+        & F.col("d.source").cast("string").eqNullSafe(F.col(f"c.{s}"))
+        & (F.col(f"d.{h}") == F.col(f"c.{h}")),
+    ).select("d.*", f"c.{i}", f"c.{s}", f"c.{n}")
+    many = joined.dropDuplicates([i, s, h]).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
     return many.select(*[F.col(f"`{c}`") for c in docs.columns])

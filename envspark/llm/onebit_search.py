@@ -15,6 +15,10 @@ from .common import map_rows, shared_folder, staged
 QUERIES_PER_PASS = 1024
 #: Width of the error bound: the estimate of a unit inner product is off by more with a chance of about exp(-WIDTH**2 / 2).
 WIDTH = 3.0
+#: Vectors whose largest component is more than so many times the usual one don't count for the centre.
+FAR_OFF = 8.0
+#: Squared distances from lengths may be off by so much of the lengths' squares.
+ROUNDING = 1e-12
 _ROWS = 4096
 _PAIRS = 1 << 17
 
@@ -38,9 +42,10 @@ class Rotation:
 
     def encode(self, vectors: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Packed signs of the rotated vectors, their distance from the centre, and the inner product of code and unit vector."""
-        turned = (vectors - self.centre) @ matrix
-        length = np.sqrt((turned**2).sum(axis=1))
-        unit = turned / np.where(length == 0, 1, length)[:, None]
+        with np.errstate(over="ignore", invalid="ignore"):
+            turned = (vectors - self.centre) @ matrix
+            length = np.sqrt((turned**2).sum(axis=1))
+            unit = turned / np.where(length == 0, 1, length)[:, None]
         return np.packbits(turned > 0, axis=1), length, np.abs(unit).sum(axis=1) / np.sqrt(turned.shape[1])
 
 
@@ -53,21 +58,36 @@ def bounds(code, length, match, queries, query_length, width: float) -> tuple[np
     """
     dim = queries.shape[1]
     signs = np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1
-    unit = (queries / np.where(query_length == 0, 1, query_length)[:, None]).astype(np.float32)
-    match = np.maximum(match, 1e-6)
-    estimate = signs @ unit.T / (np.sqrt(dim) * match)[:, None]
-    off = width * np.sqrt(np.maximum(0, 1 - match**2)) / match / np.sqrt(max(1, dim - 1)) + 1e-5
-    far = (length**2)[:, None] + (query_length**2)[None, :]
-    twice = 2 * length[:, None] * query_length[None, :]
-    return far - twice * np.minimum(1, estimate + off[:, None]), far - twice * np.maximum(-1, estimate - off[:, None])
+    with np.errstate(over="ignore", invalid="ignore"):
+        unit = (queries / np.where(query_length == 0, 1, query_length)[:, None]).astype(np.float32)
+        match = np.maximum(match, 1e-6)
+        estimate = signs @ unit.T / (np.sqrt(dim) * match)[:, None]
+        off = width * np.sqrt(np.maximum(0, 1 - match**2)) / match / np.sqrt(max(1, dim - 1)) + 1e-5
+        far = (length**2)[:, None] + (query_length**2)[None, :]
+        twice = 2 * length[:, None] * query_length[None, :]
+        low = far * (1 - ROUNDING) - twice * np.minimum(1, estimate + off[:, None])
+        high = far * (1 + ROUNDING) - twice * np.maximum(-1, estimate - off[:, None])
+    # What is too long for its square bounds nothing: its distance is always computed.
+    return np.where(np.isfinite(low), low, -np.inf), np.where(np.isfinite(high), high, np.inf)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distance of each row of ``a`` and ``b``, components added in order in double precision."""
+    """Euclidean distance of each row of ``a`` and ``b``, components added in order in double precision.
+
+    Where the squares are beyond doubles, the differences are scaled first.
+    """
     total = np.zeros(len(a))
-    for x, y in zip(a.T, b.T):
-        total += (x - y) ** 2
-    return np.sqrt(total)
+    with np.errstate(over="ignore", under="ignore"):
+        for x, y in zip(a.T, b.T):
+            total += (x - y) ** 2
+        out = np.sqrt(total)
+        odd = np.flatnonzero(~np.isfinite(total) | (total < 1e-290))
+        if len(odd):
+            gap = np.abs(a[odd] - b[odd])
+            most = gap.max(axis=1, initial=0)
+            scaled = (gap / np.where((most == 0) | np.isinf(most), 1, most)[:, None]) ** 2
+            out[odd] = np.where(np.isinf(most), np.inf, most * np.sqrt(scaled.sum(axis=1)))
+    return out
 
 
 def nearest_of(pairs: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,21 +105,29 @@ def nearest_of(pairs: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tupl
 
 
 def _centre(rows: DataFrame) -> tuple[int, np.ndarray]:
-    """The commonest dimension and the mean of its vectors."""
+    """The commonest dimension, and the mean of its vectors but for those of far more than usual size.
+
+    A few huge vectors would move the mean away from all others, whose bounds
+    then say nothing. What is left out here is only the centre's business.
+    """
     dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.col("count").desc(), "dim").limit(1).collect()
     if not dims:
         return 0, np.zeros(0)
     dim = dims[0].dim
+    sized = rows.where(F.size("v") == dim).withColumn("most", F.array_max(F.transform("v", F.abs)))
+    usual = sized.where(F.col("most") <= FAR_OFF * sized.agg(F.percentile_approx("most", 0.5)).first()[0])
 
     def sums(batches: Iterator[dict]) -> Iterator[dict]:
-        total = np.zeros(dim)
+        total, n = np.zeros(dim), 0
         for b in batches:
             total += np.array(b["v"], np.float64).reshape(-1, dim).sum(axis=0)
-        yield {"place": range(dim), "total": total}
+            n += len(b["v"])
+        if n:
+            yield {"place": range(dim), "total": total, "n": [n] * dim}
 
-    places = map_rows(rows.where(F.size("v") == dim).select("v"), sums, "place int, total double")
-    found = places.groupBy("place").agg(F.sum("total").alias("total")).orderBy("place").collect()
-    return dim, np.array([r.total for r in found]) / dims[0]["count"]
+    places = map_rows(usual.select("v"), sums, "place int, total double, n long")
+    found = places.groupBy("place").agg((F.sum("total") / F.sum("n")).alias("mean")).orderBy("place").collect()
+    return dim, np.array([r["mean"] for r in found])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, width: float = WIDTH, queries_per_pass: int = QUERIES_PER_PASS) -> DataFrame:

@@ -16,9 +16,9 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_rows, text_bytes
+from .common import map_rows, staged, text_bytes
 
 # Kinds in their order, patterns, and the least lengths of what they find.
 KINDS = ("assign", "access", "hex")
@@ -34,7 +34,7 @@ LEARNED = "crf"
 #: They have at least so many bytes.
 LEAST_LEARNED = 8
 
-#: So many rows, by hash, are looked through for slices to learn from, and so many slices of each kind (with and without a secret) are kept.
+#: About so many rows, by hash, are looked through for slices to learn from, and about so many slices of each kind (with and without a secret) are kept.
 FIT_ROWS = 20_000
 FIT_SLICES = 600
 #: Bytes on either side of a secret (or of a place without one) that a slice holds.
@@ -376,10 +376,10 @@ def fit(docs: DataFrame) -> Field:
             yield out
 
     slices = map_rows(rows, cut, "secret boolean, slice binary").withColumn("h", F.xxhash64("slice", F.lit(1)))
-    once = slices.groupBy("secret", "h").agg(F.first("slice").alias("slice"))
-    # Spark cuts each task's rows to the same rank before they are shuffled.
-    rank = F.row_number().over(Window.partitionBy("secret").orderBy("h"))
-    chosen = once.withColumn("rank", rank).where(F.col("rank") <= FIT_SLICES).select("h", "slice").collect()
+    once = staged(slices.groupBy("secret", "h").agg(F.first("slice").alias("slice")), "slices")
+    found = {r["secret"]: r["count"] for r in once.groupBy("secret").count().collect()}
+    share = F.when(F.col("secret"), FIT_SLICES / found.get(True, 1)).otherwise(FIT_SLICES / found.get(False, 1))
+    chosen = once.where(F.pmod("h", F.lit(1 << 40)) < share * (1 << 40)).collect()
     return fit_field([bytes(r["slice"]) for r in sorted(chosen, key=lambda r: r["h"])])
 
 

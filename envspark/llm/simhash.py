@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_rows, plain_words, staged, text_bytes
+from .common import map_rows, plain_words, spare_names, staged, text_bytes
 from .components import components
 
 BITS = 64
@@ -131,7 +131,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     """One row of each near-duplicate group: the smallest id, with all columns of ``docs``."""
     groups = near_duplicate_groups(docs, radius)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("keep_hash")))
-    kept = staged(kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "kept")
-    asked = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string"))).withColumn("_id", F.col("doc_id").cast("long"))
-    same = asked.alias("d").join(kept.alias("k"), F.col("d._id").eqNullSafe(F.col("k._id")) & (F.col("d._hash") == F.col("k._hash")), "left_semi")
-    return same.dropDuplicates(["_id", "_hash"]).select(*[f"`{c}`" for c in docs.columns])
+    i, h = spare_names(docs, "kept_id", "kept_hash")
+    kept = staged(kept.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct(), "kept")
+    asked = docs.withColumn(h, F.xxhash64(F.col("text").cast("string"))).withColumn(i, F.col("doc_id").cast("long"))
+    same = asked.alias("d").join(kept.alias("k"), F.col(f"d.{i}").eqNullSafe(F.col(f"k.{i}")) & (F.col(f"d.{h}") == F.col(f"k.{h}")), "left_semi")
+    return same.dropDuplicates([i, h]).select(*[f"`{c}`" for c in docs.columns])
