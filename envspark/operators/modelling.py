@@ -8,14 +8,16 @@ from operator import and_
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..defaults import ORDER
 from ..functions.calendar import ordinal
 from ..functions.numeric import bounded, percent, ratio
 from ..sources.catalog import numeric_columns
+from .boosting import HistogramBoosting
 from .clean import covered_columns
+from .deep_forest import DeepForest
 from .scale import last_n, written
 from .series import chrono_split, lag_features
 from .topk import random_split
@@ -23,12 +25,21 @@ from .topk import random_split
 # Feature list of the simple model, and settings of each model kind.
 SIMPLE_FEATURES = ("ph", "conductance", "temperature", "do_mgl", "salinity", "rainfall", "date_num")
 SETTINGS = {
-    "rf": {"trees": 150, "depth": 15, "min_rows": 5},
+    # Every split looks at all features; the simple model has no depth limit.
+    "rf": {"trees": 150, "depth": 15, "min_split": 5},
+    "rf_deep": {"trees": 150, "min_split": 2},
     "rf_quick": {"trees": 50, "depth": 10, "min_rows": 2},
-    "gbt": {"iters": 150, "depth": 6, "step": 0.1},
-    "gbt_quick": {"iters": 50, "depth": 5, "step": 0.1},
+    # Second-order boosting level by level, its interactive size, leaf by leaf, and without penalty.
+    "gbt": {"rounds": 150, "depth": 6, "step": 0.1, "l2": 1.0},
+    "gbt_quick": {"rounds": 50, "depth": 5, "step": 0.1, "l2": 1.0},
+    "gbt_leaf": {"rounds": 50, "depth": 5, "step": 0.1, "l2": 0.0, "leaves": 31, "leastRows": 20.0},
+    "gbt_plain": {"rounds": 100, "depth": 5, "step": 0.1, "l2": 0.0},
+}
+ENSEMBLE = {
+    "rf": {"trees": 100, "depth": 12, "min_rows": 2},
+    "gbt_plain": SETTINGS["gbt_plain"],
+    "gbt": {"rounds": 100, "depth": 6, "step": 0.3, "l2": 1.0},
 }
-ENSEMBLE = {"rf": {"trees": 100, "depth": 12, "min_rows": 2}, "gbt": {"iters": 100, "depth": 5, "step": 0.1}}
 
 
 def feature_names(df: DataFrame, target: str, core: int = 6) -> list[str]:
@@ -74,17 +85,15 @@ def simple_features(df: DataFrame, target: str = "turbidity", order: Sequence[st
     return dated.select(*order, *names, target).na.drop(subset=[*names, target]), names
 
 
-def _regressor(kind: str, target: str, seed: int, settings: Mapping):
-    common = {"featuresCol": "features", "labelCol": target, "seed": seed, "maxDepth": settings["depth"]}
+def _regressor(kind: str, target: str, features: Sequence[str], seed: int, settings: Mapping):
     if kind.startswith("rf"):
         return RandomForestRegressor(
-            numTrees=settings["trees"],
+            featuresCol="features", labelCol=target, seed=seed, maxDepth=settings["depth"], numTrees=settings["trees"],
             # A split leaves at least half of the smallest node that may be split on each side.
             minInstancesPerNode=max(1, settings.get("min_rows", 2) // 2),
-            **common,
-        )
+        )
     if kind.startswith("gbt"):
-        return GBTRegressor(maxIter=settings["iters"], stepSize=settings["step"], **common)
+        return HistogramBoosting(inputCols=list(features), labelCol=target, **settings)
     raise ValueError(f"unknown model kind: {kind}")
 
 
@@ -96,27 +105,31 @@ def train(
     seed: int = 42,
     min_rows: int = 30,
     **settings,
-) -> PipelineModel | None:
+) -> PipelineModel | DeepForest | None:
     """Fit one model; ``None`` with fewer than ``min_rows`` rows. ``settings`` override SETTINGS[kind].
 
-    ``kind="ensemble"`` fits a forest and boosted trees whose predictions are averaged.
+    ``kind="ensemble"`` fits a forest and two kinds of boosted trees whose predictions are averaged.
     """
     if rows.limit(min_rows).count() < min_rows:
         return None
+    if kind in ("rf", "rf_deep"):
+        key = [c for c in rows.columns if c not in features and c != target] or list(rows.columns)
+        return DeepForest(features, target, key, seed=seed, **{**SETTINGS[kind], **settings}).fit(rows)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     if kind == "ensemble":
         members = settings.get("members", ENSEMBLE)
-        stages = [
-            _regressor(k, target, seed, s).setPredictionCol(f"prediction_{i}")
-            for i, (k, s) in enumerate(members.items())
-        ]
+        stages = [_regressor(k, target, features, seed, m) for k, m in members.items()]
+        for i, stage in enumerate(stages):
+            stage.set(stage.predictionCol, f"prediction_{i}")
     else:
-        stages = [_regressor(kind, target, seed, {**SETTINGS[kind], **settings})]
+        stages = [_regressor(kind, target, features, seed, {**SETTINGS[kind], **settings})]
     return Pipeline(stages=[assembler, *stages]).fit(rows)
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: PipelineModel | DeepForest, df: DataFrame) -> DataFrame:
     """Adds ``prediction`` to every row; it is NULL where a feature is missing."""
+    if isinstance(model, DeepForest):
+        return model.predict(df)
     features = model.stages[0].getInputCols()
     complete = reduce(and_, [bounded(F.col(c).cast("double")).isNotNull() for c in features])
     scored = model.transform(df.where(complete)).drop("features")
@@ -158,7 +171,7 @@ def evaluate(
     order: Sequence[str] = ORDER,
     split: str = "time",
     **settings,
-) -> tuple[PipelineModel | None, DataFrame]:
+) -> tuple[PipelineModel | DeepForest | None, DataFrame]:
     """Train on the older rows, score the newer ones; the model and one metrics row.
 
     ``split="random"`` tells training and test rows apart by a hash of the last

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from envspark.operators import modelling as ml
+from envspark.operators.boosting import MAX_BINS, HistogramBoosting
+from envspark.operators.deep_forest import DeepForest
 from envspark.operators.scale import scratch_path, written
 
 from .align import _joined
@@ -13,8 +15,9 @@ from .views import PARAMS
 
 FEATURES = ["ph", "conductance", "do_mgl"]
 # Model kinds of the interactive comparison.
-INTERACTIVE = ("rf_quick", "gbt_quick")
-MEMBERS = {"rf": ml.SETTINGS["rf_quick"], "gbt": ml.SETTINGS["gbt_quick"]}
+INTERACTIVE = ("rf_quick", "gbt_quick", "gbt_leaf")
+# Columns with few values, of which SQL can list all splits.
+TREE_FEATURES = ["ph", "turbidity", "do_mgl"]
 
 
 @query(
@@ -43,19 +46,68 @@ def random_forest(t):
 @query(None)
 def random_forest_simple(t):
     rows, features = ml.simple_features(_joined(t))
-    return ml.evaluate(written(rows, "features"), "turbidity", features, "rf", split="random")[1]
+    return ml.evaluate(written(rows, "features"), "turbidity", features, "rf_deep", split="random")[1]
+
+
+@query(
+    "SELECT ph, turbidity, do_mgl, count(*) AS n, avg(conductance) AS prediction FROM readings_big GROUP BY ph, turbidity, do_mgl",
+    "ph turbidity do_mgl prediction",
+)
+def forest_grown_out(t):
+    """A tree without depth limit on all rows ends where rows are alike, so it predicts the mean of each combination."""
+    rows = t.readings_big.select(*TREE_FEATURES, "conductance", "order_id")
+    forest = DeepForest(TREE_FEATURES, "conductance", ["order_id"], trees=1, bootstrap=False, gather_rows=20_000).fit(rows)
+    return forest.predict(rows.groupBy(*TREE_FEATURES).agg(F.count(F.lit(1)).alias("n")))
 
 
 @query(None)
 def gradient_boosting(t):
     rows, features = _prepared(t)
-    return ml.evaluate(rows, "turbidity", features, "gbt_quick")[1]
+    return ml.evaluate(rows, "turbidity", features, "gbt")[1]
+
+
+def _best_cut(table: str, where: str) -> str:
+    """The split with the greatest gain among the rows of ``table``; ``g`` is a row's gradient."""
+    cells = " UNION ALL ".join(
+        f"SELECT {i} AS f, '{c}' AS feature, {c} AS threshold, sum(g) AS g, count(*) AS n FROM {table} WHERE {where} GROUP BY {c}"
+        for i, c in enumerate(TREE_FEATURES)
+    )
+    return (
+        "SELECT feature, threshold, gain, n_left, n_all - n_left AS n_right, g_left, g_all - g_left AS g_right FROM ("
+        "SELECT *, (g_left * g_left / (n_left + 1) + (g_all - g_left) * (g_all - g_left) / (n_all - n_left + 1) - g_all * g_all / (n_all + 1)) / 2 AS gain "
+        "FROM (SELECT f, feature, threshold, sum(g) OVER a AS g_left, sum(n) OVER a AS n_left, sum(g) OVER b AS g_all, sum(n) OVER b AS n_all "
+        f"FROM ({cells}) c WINDOW a AS (PARTITION BY f ORDER BY threshold), b AS (PARTITION BY f)) s WHERE n_all > n_left) t "
+        "ORDER BY gain DESC, f, threshold LIMIT 1"
+    )
+
+
+_UNDER = "CASE (SELECT feature FROM r0) " + " ".join(f"WHEN '{c}' THEN {c}" for c in TREE_FEATURES) + " END <= (SELECT threshold FROM r0)"
+
+
+@query(
+    "WITH g0 AS (SELECT ph, turbidity, do_mgl, (SELECT avg(conductance) FROM readings_big) - conductance AS g FROM readings_big), "
+    f"r0 AS ({_best_cut('g0', 'TRUE')}), g1 AS (SELECT *, {_UNDER} AS low FROM g0), "
+    f"r1 AS ({_best_cut('g1', 'low')}), r2 AS ({_best_cut('g1', 'NOT low')}), "
+    "leaf AS (SELECT 1 AS parent, r1.* FROM r1 UNION ALL SELECT 2, r2.* FROM r2) "
+    "SELECT 0 AS node, NULL AS parent, feature, threshold, gain, (SELECT count(*) FROM g0) AS n, (SELECT -sum(g) / (count(*) + 1) FROM g0) AS value FROM r0 "
+    "UNION ALL SELECT 1, 0, r1.feature, r1.threshold, r1.gain, CAST(r0.n_left AS BIGINT), -r0.g_left / (r0.n_left + 1) FROM r0, r1 "
+    "UNION ALL SELECT 2, 0, r2.feature, r2.threshold, r2.gain, CAST(r0.n_right AS BIGINT), -r0.g_right / (r0.n_right + 1) FROM r0, r2 "
+    "UNION ALL SELECT 2 * parent + 1, parent, NULL, NULL, NULL, CAST(n_left AS BIGINT), -g_left / (n_left + 1) FROM leaf "
+    "UNION ALL SELECT 2 * parent + 2, parent, NULL, NULL, NULL, CAST(n_right AS BIGINT), -g_right / (n_right + 1) FROM leaf",
+    "threshold gain value",
+)
+def boosting_first_tree(t):
+    """The first boosted tree of depth two; all its features have fewer values than bins, so SQL can find its splits."""
+    boosting = HistogramBoosting(inputCols=TREE_FEATURES, labelCol="conductance", rounds=1, depth=2, step=1.0, bins=MAX_BINS)
+    nodes = boosting.fit(t.readings_big).tree_rows()
+    rows = [(n["node"], n["parent"], n["feature"], n["threshold"], n["gain"], n["rows"], n["value"]) for n in nodes]
+    return t.spark.createDataFrame(rows, "node int, parent int, feature string, threshold double, gain double, n bigint, value double")
 
 
 @query(None)
 def ensemble(t):
     rows, features = _prepared(t)
-    return ml.evaluate(rows, "turbidity", features, "ensemble", members=MEMBERS)[1]
+    return ml.evaluate(rows, "turbidity", features, "ensemble")[1]
 
 
 @query(None)
