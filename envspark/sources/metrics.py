@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .record_files import NAME, register
+
 # Separator of the heading line and labels of the value lines.
 HEADING_SEPARATOR = " — "
 LABELS = {"rmse": "RMSE", "r2": "R²", "mae": "MAE"}
@@ -19,37 +19,23 @@ def metrics_text(row_model: Column, target: Column) -> Column:
     return F.concat_ws("\n", *lines)
 
 
-def write_metrics(metrics: DataFrame, path: str, fmt: str = "json") -> None:
-    """Append metric rows (an action).
+def write_metrics(metrics: DataFrame, path: str, fmt: str = "json", mode: str = "append") -> None:
+    """Append metric rows, or replace earlier ones with ``mode="overwrite"`` (an action).
 
-    ``fmt="text"`` writes one file ``<model>_<target>_metrics.txt`` per row, in
-    lower case with ``_`` for whatever is no letter, digit, dot or dash, which
-    :func:`scan_metrics` reads again. A file of the same name is replaced; of
-    several rows with one name any one is written. Unknown names are ``unknown``.
+    ``fmt="text"`` writes one record ``<model>_<target>`` per row, in lower case
+    with ``_`` for whatever is no letter, digit, dot or dash, which
+    :func:`scan_metrics` reads again. All rows of a call are kept, also those of
+    equal names; records of a name from earlier calls are replaced. A job that
+    fails leaves no record. Unknown names are ``unknown``.
     """
     if fmt == "text":
+        register(metrics.sparkSession)
         model, target = (F.coalesce(c, F.lit("unknown")) for c in ("model", "target"))
         name = F.regexp_replace(F.lower(F.concat_ws("_", model, target)), "[^\\p{L}\\p{N}.-]", "_")
-        records = metrics.select(name.alias("file"), metrics_text(model, target).alias("value"))
-        staging = f"{path}/_staging-{uuid.uuid4().hex}"
-        records.groupBy("file").agg(F.any_value("value").alias("value")).write.partitionBy("file").text(staging)
-        _publish(metrics.sparkSession, staging, path)
+        records = metrics.select(name.alias("name"), metrics_text(model, target).alias("value"))
+        records.write.format(NAME).mode(mode).save(path)
         return
-    metrics.write.mode("append").format(fmt).save(path)
-
-
-def _publish(spark: SparkSession, staging: str, path: str) -> None:
-    """Move the one file of each folder ``file=<name>`` to ``<name>_metrics.txt``; there is one for each trained model."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(staging)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for part in fs.globStatus(hadoop.Path(staging, "file=*/part-*")) or []:
-        name = part.getPath().getParent().getName().removeprefix("file=")
-        goal = hadoop.Path(path, f"{name}_metrics.txt")
-        fs.delete(goal, False)
-        if not fs.rename(part.getPath(), goal):
-            raise OSError(f"could not write {goal.toString()}")
-    fs.delete(root, True)
+    metrics.write.mode(mode).format(fmt).save(path)
 
 
 def parse_metrics(records: DataFrame, value: str = "value") -> DataFrame:
@@ -72,9 +58,7 @@ def parse_metrics(records: DataFrame, value: str = "value") -> DataFrame:
 
 
 def scan_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Read every ``*_metrics.txt`` below ``path``."""
-    files = (
-        spark.read.text(path, wholetext=True, pathGlobFilter="*_metrics.txt")
-        .withColumn("model", F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1))
-    )
-    return parse_metrics(files)
+    """Read every ``*_metrics.txt`` below ``path``, but nothing of jobs that did not finish."""
+    register(spark)
+    files = spark.read.format(NAME).load(path)
+    return parse_metrics(files.select(F.concat("name", F.lit("_metrics")).alias("model"), "value"))
