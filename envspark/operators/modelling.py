@@ -18,12 +18,18 @@ from ..sources.catalog import numeric_columns
 from .boosting import HistogramBoosting
 from .clean import covered_columns
 from .deep_forest import DeepForest
+from .fitted import MedianFiller, OutlierCapper
 from .scale import last_n, written
 from .series import chrono_split, lag_features
 from .topk import random_split
 
-# Feature list of the simple model, and settings of each model kind.
+# Feature lists of the simple model and of the one with filled gaps, and settings of each model kind.
 SIMPLE_FEATURES = ("ph", "conductance", "temperature", "do_mgl", "salinity", "rainfall", "date_num")
+FILLED_FEATURES = (
+    "temperature", "do_mgl", "do_sat", "ph", "salinity", "conductance", "turbidity", "chlorophyll", "water_speed", "water_direction",
+)
+#: Ending of the names of cleaned features inside a model.
+CLEANED = "__cleaned"
 SETTINGS = {
     # Every split looks at all features; the simple model has no depth limit.
     "rf": {"trees": 150, "depth": 15, "min_split": 5},
@@ -104,18 +110,26 @@ def train(
     kind: str = "rf",
     seed: int = 42,
     min_rows: int = 30,
+    clean: bool = False,
     **settings,
 ) -> PipelineModel | DeepForest | None:
     """Fit one model; ``None`` with fewer than ``min_rows`` rows. ``settings`` override SETTINGS[kind].
 
     ``kind="ensemble"`` fits a forest and two kinds of boosted trees whose predictions are averaged.
+    With ``clean`` the pipeline begins with caps and medians of these rows, so that rows with
+    missing features are learned from and scored as well; not for forests of ``DeepForest``.
     """
     if rows.limit(min_rows).count() < min_rows:
         return None
     if kind in ("rf", "rf_deep"):
         key = [c for c in rows.columns if c not in features and c != target] or list(rows.columns)
         return DeepForest(features, target, key, seed=seed, **{**SETTINGS[kind], **settings}).fit(rows)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    cleaning = []
+    if clean:
+        cleaned = [f"{c}{CLEANED}" for c in features]
+        cleaning = [OutlierCapper(inputCols=list(features), outputCols=cleaned), MedianFiller(inputCols=cleaned)]
+        features = cleaned
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep" if clean else "error")
     if kind == "ensemble":
         members = settings.get("members", ENSEMBLE)
         stages = [_regressor(k, target, features, seed, m) for k, m in members.items()]
@@ -123,21 +137,46 @@ def train(
             stage.set(stage.predictionCol, f"prediction_{i}")
     else:
         stages = [_regressor(kind, target, features, seed, {**SETTINGS[kind], **settings})]
-    return Pipeline(stages=[assembler, *stages]).fit(rows)
+    return Pipeline(stages=[*cleaning, assembler, *stages]).fit(rows)
 
 
 def predict(model: PipelineModel | DeepForest, df: DataFrame) -> DataFrame:
     """Adds ``prediction`` to every row; it is NULL where a feature is missing."""
     if isinstance(model, DeepForest):
         return model.predict(df)
-    features = model.stages[0].getInputCols()
+    features = model_features(model)
+    steps = model.stages
+    while not isinstance(steps[0], VectorAssembler):
+        df, steps = steps[0].transform(df), steps[1:]
     complete = reduce(and_, [bounded(F.col(c).cast("double")).isNotNull() for c in features])
-    scored = model.transform(df.where(complete)).drop("features")
+    scored = PipelineModel(stages=steps).transform(df.where(complete)).drop("features")
     members = [c for c in scored.columns if c.startswith("prediction_")]
     if members:
         mean = sum((F.col(c) for c in members), F.lit(0.0)) / len(members)
         scored = scored.withColumn("prediction", mean).drop(*members)
-    return scored.unionByName(df.where(~complete).withColumn("prediction", F.lit(None).cast("double")))
+    scored = scored.unionByName(df.where(~complete).withColumn("prediction", F.lit(None).cast("double")))
+    return scored.drop(*[c for c in features if c.endswith(CLEANED)])
+
+
+def model_features(model: PipelineModel) -> list[str]:
+    """The columns a model learned from, cleaned ones by their cleaned names."""
+    return next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
+
+
+def cleaned_features(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``df`` with its feature columns as the model's cleaning steps leave them."""
+    for step in model.stages:
+        if isinstance(step, VectorAssembler):
+            break
+        df = step.transform(df)
+    cells = {c.removesuffix(CLEANED): F.col(c) for c in model_features(model) if c.endswith(CLEANED)}
+    return df.withColumns(cells).drop(*[f"{c}{CLEANED}" for c in cells])
+
+
+def filled_features(df: DataFrame, target: str = "turbidity", order: Sequence[str] = ORDER) -> tuple[DataFrame, list[str]]:
+    """Rows with a target and all sensor columns that are there, gaps left for the model's own medians."""
+    names = [c for c in FILLED_FEATURES if c in df.columns and c != target]
+    return df.select(*order, *names, target).where(F.col(target).isNotNull()), names
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -229,7 +268,7 @@ def recommend(metrics: DataFrame) -> DataFrame:
 
 def importance(model: PipelineModel, spark) -> DataFrame:
     """Feature importance, share, rank and running share; one row per feature."""
-    names = model.stages[0].getInputCols()
+    names = [c.removesuffix(CLEANED) for c in model_features(model)]
     values = model.stages[-1].featureImportances.toArray()
     table = spark.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "feature string, importance double")
     return rank_importance(table)

@@ -8,6 +8,7 @@ from envspark.operators import modelling as ml
 from envspark.operators.boosting import MAX_BINS, HistogramBoosting
 from envspark.operators.deep_forest import DeepForest
 from envspark.operators.scale import scratch_path, written
+from envspark.operators.series import chrono_split
 
 from .align import _joined
 from .registry import query
@@ -128,18 +129,70 @@ def importance(t):
 
 @query(None)
 def batch_predict(t):
+    """Learned from the older rows, applied to the newer ones."""
     rows, features = _prepared(t)
-    return ml.predict(ml.train(rows, "turbidity", features, "rf_quick"), rows).select(
-        "record_number", "turbidity", "prediction"
-    )
+    older, newer = chrono_split(rows)
+    return ml.predict(ml.train(older, "turbidity", features, "rf_quick"), newer).select("record_number", "turbidity", "prediction")
 
 
 @query(None)
 def model_save_load(t):
     rows, features = _prepared(t)
+    older, newer = chrono_split(rows)
+    path = scratch_path(t.spark, "model")
+    ml.save_model(ml.train(older, "turbidity", features, "rf_quick"), path)
+    return ml.regression_metrics(ml.predict(ml.load_model(path), newer), "turbidity")
+
+
+_FILLED = ["temperature", "do_mgl", "ph", "salinity", "conductance"]
+_CUTS = ", ".join(f"quantile_cont({c}, [1e-3, 5e-1, 9.99e-1]) AS {c}_q" for c in _FILLED)
+_CLEANED = ", ".join(
+    f"CASE WHEN {c} IS NULL THEN {c}_q[2] WHEN {c} < {c}_q[1] THEN {c}_q[1] WHEN {c} > {c}_q[3] THEN {c}_q[3] ELSE {c} END AS {c}" for c in _FILLED
+)
+_NUMBERED = (
+    "k AS (SELECT *, row_number() OVER (ORDER BY timestamp, record_number) <= count(*) OVER () - ceil(count(*) OVER () * 2e-1) AS older "
+    "FROM readings WHERE turbidity IS NOT NULL)"
+)
+
+
+@query(
+    f"WITH {_NUMBERED}, q AS (SELECT {_CUTS} FROM k WHERE older) SELECT record_number, {_CLEANED}, TRUE AS scored FROM k, q WHERE NOT older",
+    " ".join(_FILLED),
+)
+def batch_predict_filled(t):
+    """Caps and medians of the older rows are saved with the model; loaded again it scores newer rows, gaps and all."""
+    rows, features = ml.filled_features(t.readings.drop("chlorophyll"))
+    older, newer = chrono_split(rows)
     path = scratch_path(t.spark, "model")
-    ml.save_model(ml.train(rows, "turbidity", features, "rf_quick"), path)
-    return ml.regression_metrics(ml.predict(ml.load_model(path), rows), "turbidity")
+    ml.save_model(ml.train(older, "turbidity", features, "gbt_quick", clean=True, rounds=8), path)
+    model = ml.load_model(path)
+    scored = ml.predict(model, newer).select("record_number", F.col("prediction").isNotNull().alias("scored"))
+    return ml.cleaned_features(model, newer).select("record_number", *_FILLED).join(scored, "record_number")
+
+
+@query(
+    f"WITH {_NUMBERED}, f AS (SELECT older FROM k WHERE ph IS NOT NULL AND conductance IS NOT NULL AND do_mgl IS NOT NULL), "
+    "n AS (SELECT count(*) AS n FROM f) SELECT CAST(n - ceil(n * 2e-1) AS BIGINT) AS train_rows, CAST(ceil(n * 2e-1) AS BIGINT) AS test_rows, "
+    "CAST(ceil(n * 2e-1) AS BIGINT) AS scored_rows, TRUE AS mean_of_members, TRUE AS metrics_match, TRUE AS importance_is_one FROM n"
+)
+def model_facts(t):
+    """What holds for any trained model: rows of each part, an ensemble's mean, metrics from predictions, importance."""
+    rows = written(t.readings.select("timestamp", "record_number", *FEATURES, "turbidity").na.drop(), "features")
+    older, newer = chrono_split(rows)
+    members = {"rf": {"trees": 5, "depth": 4, "min_rows": 2}, "gbt": {"rounds": 4, "depth": 3}}
+    model, metrics = ml.evaluate(rows, "turbidity", FEATURES, "ensemble", members=members)
+    each = model.transform(newer).select("record_number", ((F.col("prediction_0") + F.col("prediction_1")) / 2).alias("mean"))
+    scored = ml.predict(model, newer).join(each, "record_number")
+    error = F.col("turbidity") - F.col("prediction")
+    facts = scored.agg(
+        F.count("prediction").alias("scored_rows"), F.every(F.abs(F.col("prediction") - F.col("mean")) < 1e-9).alias("mean_of_members"),
+        F.sqrt(F.avg(error * error)).alias("again"),
+    )
+    total = ml.importance(model, t.spark).agg(F.sum("importance").alias("total"))
+    return facts.crossJoin(metrics).crossJoin(total).select(
+        "train_rows", "test_rows", "scored_rows", "mean_of_members", (F.abs(F.col("again") - F.col("rmse")) < 1e-9).alias("metrics_match"),
+        (F.abs(F.col("total") - 1) < 1e-9).alias("importance_is_one"),
+    )
 
 
 # Fixed predictions: the salinity column stands in for a model of turbidity.
