@@ -185,10 +185,11 @@ def daily_mean(
         .groupBy(*sites, cal.day(F.col(timestamp)).alias("day"))
         .agg(*[F.avg(c).alias(c) for c in columns])
     )
-    return _open_gaps(daily, columns, sites)
+    return open_gaps(daily, columns, sites)
 
 
-def _open_gaps(daily: DataFrame, columns: Sequence[str], sites: Sequence[str]) -> DataFrame:
+def open_gaps(daily: DataFrame, columns: Sequence[str], sites: Sequence[str]) -> DataFrame:
+    """Daily rows with the days between them, which have nulls."""
     following = F.lead("day").over(Window.partitionBy(*sites).orderBy("day"))
     until = F.coalesce(F.date_sub(following, 1), F.col("day"))
     spread = daily.withColumn("_until", until).withColumn("_day", F.explode(F.sequence("day", "_until")))
@@ -263,6 +264,36 @@ def active_sites(df: DataFrame, site: str, days: int = 7, approximate: bool = Fa
     )
 
 
+def active_sites_by_day(df: DataFrame, site: str, days: int = 7, timestamp: str = "timestamp") -> DataFrame:
+    """``day, active_sites``: distinct sites with a reading in the ``days`` days up to each day, gaps included.
+
+    A site is active from a day with readings on until ``days`` later. Its
+    stretches begin and end at most once a day, so they are added up as steps:
+    no window or set holds the sites of a day, however many they are.
+    """
+    day = cal.day(F.col(timestamp)).alias("day")
+    seen = df.where(F.col(timestamp).isNotNull() & F.col(site).isNotNull()).select(F.col(site).alias("_site"), day).distinct()
+    by_site = Window.partitionBy("_site").orderBy("day")
+    until = F.date_add("day", days)
+    before, after = F.lag(until).over(by_site), F.lead("day").over(by_site)
+    marked = seen.select("day", until.alias("_end"), F.coalesce(before >= F.col("day"), F.lit(False)).alias("_goes_on"), F.coalesce(after <= until, F.lit(False)).alias("_kept"))
+    steps = marked.select(
+        F.explode(
+            F.array(
+                F.struct("day", F.when(F.col("_goes_on"), 0).otherwise(1).alias("step")),
+                F.struct(F.col("_end").alias("day"), F.when(F.col("_kept"), 0).otherwise(-1).alias("step")),
+            )
+        ).alias("_s")
+    ).select("_s.day", "_s.step")
+    daily = steps.groupBy("day").agg(F.sum("step").alias("step"))
+    # One row a day from here on.
+    total = F.sum("step").over(Window.orderBy("day"))
+    last = df.agg(F.max(cal.day(F.col(timestamp))).alias("last"))
+    running = daily.select("day", total.alias("active_sites"))
+    spread = running.withColumn("_until", F.date_sub(F.coalesce(F.lead("day").over(Window.orderBy("day")), F.date_add("day", 1)), 1))
+    return spread.select(F.explode(F.sequence("day", "_until")).alias("day"), "active_sites").where(F.col("day") <= last.scalar())
+
+
 def coverage_summary(df: DataFrame, timestamp: str = "timestamp") -> DataFrame:
     """Whole days spanned, records, samples per day, first and newest timestamp."""
     days = cal.whole_days(F.min(timestamp), F.max(timestamp)).cast("bigint")

@@ -10,6 +10,7 @@ from envspark.operators.aggregate import completeness, daily_mean, describe
 from envspark.operators.scale import scratch_path
 from envspark.operators.topk import project
 from envspark.sources import catalog, metrics, tables
+from envspark.sources.daily_state import DailyState
 
 from .registry import query
 from .views import BIG_PARAMS, PARAMS, READINGS
@@ -108,6 +109,34 @@ def write_daily(t):
     return t.spark.read.schema("day date, ph double, turbidity double").option("header", True).csv(path)
 
 
+@query(
+    "SELECT s.day, avg(ph) AS ph, avg(turbidity) AS turbidity "
+    "FROM spine s LEFT JOIN readings r ON CAST(r.timestamp AS DATE) = s.day GROUP BY s.day",
+    "ph turbidity",
+)
+def daily_means_kept(t):
+    """Daily means from a state that three updates, none in order of time, have brought up to date."""
+    state = DailyState(t.spark, scratch_path(t.spark, "daily-state"), ["ph", "turbidity"])
+    for number, rest in enumerate((2, 0, 1)):
+        state.update(t.readings.where(F.col("record_number") % 3 == rest), number)
+    return state.means()
+
+
+@query(
+    "SELECT CAST(timestamp AS DATE) AS day, site, count(*) AS rows, count(ph) AS ph_n, avg(ph) AS ph, stddev_samp(ph) AS ph_std "
+    "FROM readings WHERE day(timestamp) BETWEEN 5 AND 16 GROUP BY 1, 2",
+    "ph ph_std",
+)
+def daily_statistics_kept(t):
+    """Counts, means and deviations by day and site; the second update is delivered twice."""
+    state = DailyState(t.spark, scratch_path(t.spark, "daily-state"), ["ph"], site="site")
+    half = F.col("record_number") % 2 == 0
+    state.update(t.readings.where(half), 1)
+    for _ in range(2):
+        state.update(t.readings.where(~half), 2)
+    return state.statistics().where(F.dayofmonth("day").between(5, 16))
+
+
 @query(
     "SELECT 'full' AS export, count(*) AS rows FROM readings "
     "UNION ALL SELECT 'filtered', count(*) FROM readings WHERE timestamp >= TIMESTAMP '2024-01-05' AND timestamp < TIMESTAMP '2024-01-21' "

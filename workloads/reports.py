@@ -378,6 +378,15 @@ def active_sites(t):
     return agg.active_sites(t.readings_big, "site")
 
 
+@query(
+    "SELECT day, (SELECT count(DISTINCT site) FROM readings r WHERE CAST(r.timestamp AS DATE) <= s.day AND CAST(r.timestamp AS DATE) > s.day - INTERVAL 2 DAYS) AS active_sites "
+    "FROM spine s"
+)
+def active_sites_by_day(t):
+    """Distinct sites of each day and the day before; gaps have days without any."""
+    return agg.active_sites_by_day(t.readings, "site", days=2)
+
+
 @query(
     "SELECT date_diff('microsecond', min(timestamp), max(timestamp)) // 86400000000 AS days, count(*) AS records, "
     "count(*) * 1e0 / greatest(date_diff('microsecond', min(timestamp), max(timestamp)) // 86400000000, 1) AS samples_per_day, "
