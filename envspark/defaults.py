@@ -37,6 +37,9 @@ GAUSSIAN_PARAMETERS = (
     Parameter("do_mgl", 8.0, 1.5, 0.15),
 )
 
+# The same, with oxygen read in percent of saturation but rated like mg/L.
+SATURATION_PARAMETERS = (*GAUSSIAN_PARAMETERS[:3], Parameter("do_sat", 8.0, 1.5, 0.15))
+
 # Class names from best to worst, and the cut between neighbours.
 CLASSES = ("Excellent", "Good", "Poor", "Very Poor")
 UNKNOWN_CLASS = "Unknown"

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..defaults import ORDER, SITE_NAMES, Parameter
+from ..defaults import ORDER, SATURATION_PARAMETERS, SITE_NAMES, Parameter
 from ..functions import calendar as cal
 from ..functions.quality import CUTS, PARAMETERS, classify, combine, sub_index
 from ..operators.align import join_daily, overlap, prefix_weather, weather_daily
 from ..operators.clean import cap_and_fill, cap_outliers, climatology_fill, coerce_numeric, impute
 from ..sources.catalog import numeric_columns
+from ..sources.tables import drop_missing_time
 
 
 def wqi(
@@ -82,12 +83,15 @@ def enrich(
 ) -> DataFrame:
     """Coerce, join weather, cap, impute, score and date the readings; every step can be left out.
 
-    Text columns become numbers where at least half of their values are.
+    Text columns become numbers where at least half of their values are. Rows
+    without a timestamp are left out.
 
     Weather that shares no date range with the readings is replaced by the
     usual values of each month (``fill_weather``).
     """
     df = coerce_numeric(readings, min_parse_share=0.5)
+    if order[0] in df.columns:
+        df = drop_missing_time(df, order[0])
     if weather is not None:
         daily = weather_daily(coerce_numeric(weather, min_parse_share=0.5))
         if fill_weather:
@@ -104,6 +108,14 @@ def enrich(
     return calendar_features(df, order[0], include_hour) if calendar else df
 
 
+def process_readings(readings: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+    """The batch preset: capped and filled readings with the gaussian index on oxygen saturation, and "Fall" for autumn."""
+    df = drop_missing_time(coerce_numeric(readings, min_parse_share=0.5), order[0])
+    numbers = [c for c in numeric_columns(df) if c not in order and c not in SITE_NAMES]
+    scored = wqi(cap_and_fill(df, numbers), "gaussian", SATURATION_PARAMETERS)
+    return calendar_features(scored, order[0], autumn="Fall")
+
+
 def _cover(readings: DataFrame, daily: DataFrame, timestamp: str) -> DataFrame:
     spans = overlap(readings, daily, timestamp).first()
     if not spans["disjoint"]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from envspark.operators import align as ops
 from envspark.operators.aggregate import daily_mean
 from envspark.operators.anomaly import normal_rows, zscore_flag
-from envspark.plans.enrich import enrich as enrich_plan, process_weather
+from envspark.plans.enrich import enrich as enrich_plan, process_readings, process_weather
 
 from .registry import query
 from .views import PARAMS, index_sql
@@ -135,6 +135,28 @@ def enrich(t):
     return enrich_plan(t.readings, t.weather).select("record_number", "site", *_KEEP, "wqi_class", *_CAL_NAMES)
 
 
+_RAW = ("ph", "turbidity", "conductance", "do_mgl")
+_RANKS = ", ".join(f"quantile_cont({c}, [1e-3, 5e-1, 9.99e-1]) AS {c}_r" for c in _RAW)
+_CAPPED = ", ".join(
+    f"CASE WHEN {c} IS NULL THEN {c}_r[2] WHEN {c} < {c}_r[1] THEN {c}_r[1] WHEN {c} > {c}_r[3] THEN {c}_r[3] ELSE {c} END AS {c}" for c in _RAW
+)
+
+
+@query(
+    f"WITH timed AS (SELECT * FROM readings WHERE record_number % 41 <> 0), ranks AS (SELECT {_RANKS} FROM timed), "
+    f"cleaned AS (SELECT record_number, timestamp, {_CAPPED} FROM timed, ranks) "
+    "SELECT record_number, do_mgl AS do_sat, do_mgl_q AS do_sat_q, do_mgl_contrib AS do_sat_contrib, wqi, wqi_class, "
+    "CASE WHEN month(timestamp) IN (12, 1, 2) THEN 'Winter' WHEN month(timestamp) IN (3, 4, 5) THEN 'Spring' "
+    f"WHEN month(timestamp) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END AS season FROM ({index_sql('cleaned', 'gaussian')}) g",
+    "do_sat do_sat_q do_sat_contrib wqi",
+)
+def readings_processed(t):
+    """The batch preset: saturation rated by the gaussian index, rows without a timestamp left out."""
+    timed = F.when(F.col("record_number") % 41 != 0, F.col("timestamp")).alias("timestamp")
+    rows = t.readings.select(timed, "record_number", "ph", "turbidity", "conductance", F.col("do_mgl").alias("do_sat"))
+    return process_readings(rows).select("record_number", "do_sat", "do_sat_q", "do_sat_contrib", "wqi", "wqi_class", "season")
+
+
 @query(
     _enriched_sql() + "SELECT s.day, avg(wqi) AS wqi, avg(ph) AS ph, avg(turbidity) AS turbidity, avg(rainfall) AS rainfall "
     "FROM spine s LEFT JOIN indexed i ON CAST(i.timestamp AS DATE) = s.day GROUP BY s.day",

@@ -321,16 +321,16 @@ def ridge_distribution(t):
 _RIDGE_DENSITY = " UNION ALL ".join(
     f"SELECT '{c}' AS parameter, month, CAST(i AS INTEGER) AS point, any_value(lo + step * i) AS x, "
     f"sum(exp(-0.5 * pow((lo + step * i - {c}) / h, 2))) / any_value(n * h * sqrt(2 * pi())) AS density FROM readings "
-    f"JOIN (SELECT strftime(timestamp, '%Y-%m') AS month, min({c}) AS lo, (max({c}) - min({c})) / 49 AS step, "
+    f"JOIN (SELECT strftime(timestamp, '%Y-%m') AS month, min({c}) AS lo, (max({c}) - min({c})) / 199 AS step, "
     f"stddev_samp({c}) * pow(count({c}), -0.2) AS h, count({c}) AS n FROM readings GROUP BY 1 HAVING count({c}) >= 6) s "
-    f"ON strftime(readings.timestamp, '%Y-%m') = s.month CROSS JOIN (SELECT unnest(range(50)) AS i) g WHERE {c} IS NOT NULL GROUP BY month, i"
-    for c in ("ph", "turbidity")
+    f"ON strftime(readings.timestamp, '%Y-%m') = s.month CROSS JOIN (SELECT unnest(range(200)) AS i) g WHERE {c} IS NOT NULL GROUP BY month, i"
+    for c in BIG_PARAMS
 )
 
 
 @query(_RIDGE_DENSITY, "x density")
 def ridge_density(t):
-    return dist.ridge_density(t.readings, ["ph", "turbidity"], grid=50)
+    return dist.ridge_density(t.readings, BIG_PARAMS)
 
 
 @query(
