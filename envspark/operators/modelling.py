@@ -6,10 +6,11 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..defaults import ORDER
 from ..functions.calendar import ordinal
@@ -179,11 +180,19 @@ def filled_features(df: DataFrame, target: str = "turbidity", order: Sequence[st
     return df.select(*order, *names, target).where(F.col(target).isNotNull()), names
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | DeepForest, path: str) -> None:
+    if isinstance(model, DeepForest):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> PipelineModel | DeepForest:
+    try:
+        return DeepForest.load(SparkSession.active(), path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
     return PipelineModel.load(path)
 
 
@@ -266,10 +275,13 @@ def recommend(metrics: DataFrame) -> DataFrame:
     ).where("best_r2 IS NOT NULL")
 
 
-def importance(model: PipelineModel, spark) -> DataFrame:
+def importance(model: PipelineModel | DeepForest, spark) -> DataFrame:
     """Feature importance, share, rank and running share; one row per feature."""
-    names = [c.removesuffix(CLEANED) for c in model_features(model)]
-    values = model.stages[-1].featureImportances.toArray()
+    if isinstance(model, DeepForest):
+        names, values = model.features, model.importances()
+    else:
+        names = [c.removesuffix(CLEANED) for c in model_features(model)]
+        values = model.stages[-1].featureImportances.toArray()
     table = spark.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "feature string, importance double")
     return rank_importance(table)
 
