@@ -11,7 +11,7 @@ from ..defaults import WEEKDAYS
 from ..functions import calendar as cal
 from ..functions.numeric import percent
 from ..functions.text import weather_name
-from .scale import bounded_broadcast, one_row, written
+from .scale import BROADCAST_ROWS, one_row, spread_left_join, written
 
 
 def weather_daily(
@@ -46,15 +46,20 @@ def prefix_weather(daily: DataFrame) -> DataFrame:
     return daily.withColumnsRenamed({c: weather_name(c) for c in daily.columns})
 
 
-def join_daily(readings: DataFrame, daily: DataFrame, timestamp: str = "timestamp") -> DataFrame:
+def join_daily(readings: DataFrame, daily: DataFrame, timestamp: str = "timestamp", max_days: int = BROADCAST_ROWS) -> DataFrame:
     """Readings with their day's weather; every reading is kept.
 
     The daily side has one row per date. It is written once (an action) and
-    broadcast after its row count is checked, so a day that holds most readings
+    broadcast if it has at most ``max_days`` rows, so a day that holds most readings
     does not gather in one task and later passes do not aggregate it again.
+    A longer one is joined by a shuffle that spreads frequent days and leaves
+    readings without a date where they are.
     """
-    days = bounded_broadcast(written(daily, "daily"))
-    return readings.withColumn("date", cal.day(F.col(timestamp))).join(days, "date", "left")
+    days = written(daily, "daily")
+    dated = readings.withColumn("date", cal.day(F.col(timestamp)))
+    if days.count() <= max_days:
+        return dated.join(F.broadcast(days), "date", "left")
+    return spread_left_join(dated, days, "date")
 
 
 def overlap(a: DataFrame, b: DataFrame, a_col: str = "timestamp", b_col: str = "date") -> DataFrame:

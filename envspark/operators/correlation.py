@@ -77,15 +77,16 @@ def spearman(
     df: DataFrame,
     columns: Sequence[str],
     broadcast_cells: int = BROADCAST_CELLS,
-    hot_rows: int = 1_000_000,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Spearman matrix with average ranks; every pair ranks the rows where both are known.
 
     Ranks are computed per distinct value. Their spread follows from the rank
     table alone, so the rows only add up one product per pair. Ranks reach the
     rows by broadcast if the written rank table is small, otherwise by a
-    shuffle in which the few values filling more than ``hot_rows`` rows are
-    joined apart. Runs writes and one small aggregate.
+    shuffle in which the few values filling more than ``hot_rows`` rows (an
+    eighth of a partition's fair share, if not given) are joined apart. Runs
+    writes and one small aggregate.
     """
     slim = df.select(*columns)
     ranks = written(_partner_ranks(slim, columns), "ranks")
@@ -113,7 +114,9 @@ def spearman(
                 F.broadcast(side), F.col(columns[i]).cast("double") == F.col(f"_v{i}"), "left"
             ).drop(f"_v{i}")
     else:
-        wide = _ranks_by_shuffle(slim, ranks, columns, hot_rows)
+        cells = sum(r[f"n{i}"] for i, r in facts.items())
+        share = cells // (8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        wide = _ranks_by_shuffle(slim, ranks, columns, max(1, share) if hot_rows is None else hot_rows)
     structs = []
     for i in width:
         for j in range(i, len(columns)):
@@ -144,7 +147,7 @@ def _ranks_by_shuffle(slim, ranks, columns, hot_rows):
     # The row numbers are written with the rows, so a retried task cannot change them.
     rows = written(slim.withColumn("_row", F.monotonically_increasing_id()), "rows")
     cells = rows.select("_row", F.explode(_entries(columns)).alias("e")).select("_row", "e.c", "e.v").where("v IS NOT NULL")
-    # A value can only be hot if it fills ``hot_rows`` rows, so at most rows / hot_rows values per column are.
+    # A value is hot by its share of all cells, so at most eight a partition are, whatever the number of rows.
     hot = bounded_broadcast(ranks.where(F.col("total") > hot_rows).select("c", "v", F.col("ranks").alias("hot_ranks")))
     marked = cells.join(hot, ["c", "v"], "left")
     direct = marked.where("hot_ranks IS NOT NULL").select("_row", "c", F.col("hot_ranks").alias("ranks"))

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .scale import least_tickets
+
 _EULER = 0.5772156649015329
 
 
@@ -53,7 +55,7 @@ def grow_forest(
     ticket = F.xxhash64(F.col(key), F.lit(seed))
     known = df.where(F.col(column).isNotNull()).select(key, F.col(column).cast("double").alias("x"))
     # trees * sample rows at most; ranking them is bounded work.
-    picked = known.orderBy(ticket, key).limit(trees * sample)
+    picked = least_tickets(known, trees * sample, ticket, F.shiftright(ticket, 32), key)
     number = F.row_number().over(Window.orderBy(ticket, key)) - 1
 
     def one_tree(rows: pd.DataFrame) -> pd.DataFrame:

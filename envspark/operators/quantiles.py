@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ..defaults import ORDER
 from ..functions.calendar import micros
@@ -218,7 +218,12 @@ def exact_quantiles(
             proposed[id(s)] = (sketch[2 * j], sketch[2 * j + 1])
             searches[name].append(s)
     everyone = [s for group in searches.values() for s in group]
-    brackets = _search(df, everyone, limit, proposed)
+    _finish(df, _search(df, everyone, limit, proposed), everyone)
+    return {n: [s.answer for s in group] or [None] * len(probabilities) for n, group in searches.items()}
+
+
+def _finish(df: DataFrame, brackets: DataFrame, everyone: Sequence[_Search]) -> None:
+    """Exact answers from the values that the searches have left: one aggregate of the table, one of the written brackets."""
     for is_written, source in ((True, brackets), (False, df)):
         groups = _brackets([s for s in everyone if s.answer is None and s.written == is_written])
         if not groups:
@@ -230,7 +235,59 @@ def exact_quantiles(
         for members, results in zip(groups.values(), _first_row(source, finals)):
             for s, value in zip(members, results):
                 s.answer = value
-    return {n: [s.answer for s in group] or [None] * len(probabilities) for n, group in searches.items()}
+
+
+def bracketed_quantiles(
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    probabilities: Sequence[float],
+    ends: Mapping[str, Sequence[tuple[float, float]] | None],
+    limit: int = EXACT_VALUES,
+) -> dict[str, list[float | None]]:
+    """Exact quantiles of number columns whose brackets (``ends``, a pair per probability) are known beforehand (runs actions).
+
+    One pass counts the values below each bracket and writes those inside. A
+    column that has no brackets, or one that its values are not in, is searched
+    by :func:`exact_quantiles`.
+    """
+    guessed = [(n, j, low, high) for n in columns if ends.get(n) for j, (low, high) in enumerate(ends[n])]
+    answers: dict[str, list[float | None]] = {}
+    if guessed:
+        cells, measures = [], []
+        for i, (n, _, low, high) in enumerate(guessed):
+            inside = _between(columns[n], low, high)
+            cells.append(F.struct(F.lit(i).alias("bracket"), inside.alias("value")))
+            measures += [
+                F.count(columns[n]).alias(f"total_{i}"), count_if(columns[n] < F.lit(low)).alias(f"below_{i}"), F.count(inside).alias(f"inside_{i}"),
+                F.min(inside).alias(f"low_{i}"), F.max(inside).alias(f"high_{i}"),
+            ]
+        # The counts belong to the tasks that write: a task that runs again is counted once.
+        seen = Observation()
+        kept = df.observe(seen, *measures).select(F.explode(F.filter(F.array(*cells), lambda c: c["value"].isNotNull())).alias("c"))
+        kept = written(kept.select("c.bracket", "c.value"), "brackets")
+        counts = seen.get
+        found: dict[str, list[_Search]] = {}
+        for i, (n, j, *_) in enumerate(guessed):
+            total, below, inside = (counts[f"{k}_{i}"] for k in ("total", "below", "inside"))
+            low, high = counts[f"low_{i}"], counts[f"high_{i}"]
+            s = _Search(F.when(F.col("bracket") == i, F.col("value")), False, probabilities[j] * (total - 1), low, high, inside, total)
+            s.below = s.left_out = below
+            s.written = True
+            s.answer = low if low == high else None
+            found.setdefault(n, []).append(s)
+        for n, group in found.items():
+            if group[0].total == 0:
+                answers[n] = [None] * len(probabilities)
+            elif all(s.below <= s.first and s.second < s.below + s.inside for s in group):
+                answers[n] = []
+        everyone = [s for n, group in found.items() if answers.get(n) == [] for s in group]
+        _finish(df, _search(kept, everyone, limit), everyone)
+        for n in [n for n in found if answers.get(n) == []]:
+            answers[n] = [s.answer for s in found[n]]
+    rest = {n: c for n, c in columns.items() if n not in answers}
+    if rest:
+        answers |= exact_quantiles(df, rest, probabilities, limit)
+    return {n: answers[n] for n in columns}
 
 
 def kth_value(df: DataFrame, column: Column, k: int, limit: int = EXACT_VALUES) -> tuple[int, int]:

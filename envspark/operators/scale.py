@@ -65,6 +65,65 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return df
 
 
+def _unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that ``df`` has no columns of."""
+    taken = max((c for c in df.columns if c.startswith("_")), key=len, default="")
+    return [f"_{n}" if not taken else f"{taken}_{n}" for n in names]
+
+
+def spread_left_join(left: DataFrame, right: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Left join with a side that is too large to broadcast and has one row for each ``key``.
+
+    A key that fills more than an eighth of a partition's fair share of the
+    left rows is dealt over several pieces by a hash of the row, and its one
+    right row is copied to each; at most eight keys a partition are that
+    frequent, which bounds what is broadcast. Left rows without a key have no
+    partner and take no part in the shuffle. Reads ``left`` once more for the counts
+    (one write).
+    """
+    parts = partitions or _range_partitions(left)
+    count, pieces, piece = _unused(left.select("*", *[F.lit(None).alias(c) for c in right.columns if c != key]), "count", "pieces", "piece")
+    counts = written(left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(count)), "keys")
+    share = max(1, (counts.agg(F.sum(count)).first()[0] or 0) // (8 * parts))
+    frequent = F.broadcast(counts.where(F.col(count) > share).select(key, F.ceil(F.col(count) / share).cast("int").alias(pieces)))
+    known = left.where(F.col(key).isNotNull()).join(frequent, key, "left")
+    # The hash of the whole row: a task that runs again deals its rows alike.
+    dealt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col(pieces)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(pieces), F.lit(1)) - 1))
+    joined = (
+        known.withColumn(piece, F.coalesce(dealt, F.lit(0))).drop(pieces)
+        .join(right.join(frequent, key, "left").withColumn(piece, copies).drop(pieces), [key, piece], "left")
+        .drop(piece)
+    )
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key]
+    without = left.where(F.col(key).isNull()).select(*[F.col(f"`{c}`") for c in joined.columns[: len(left.columns)]], *rest)
+    return joined.unionByName(without)
+
+
+def least_tickets(df: DataFrame, n: int, ticket: Column, high: Column, key: str) -> DataFrame:
+    """The ``n`` rows with the least ``ticket`` (then ``key``), without n rows from every task in one.
+
+    ``high`` is the ticket's upper 32 bits as a bigint in the same order. Counts
+    by its upper and then its lower half (65,536 numbers at most, each time) tell up to which number
+    rows are needed, and only these are sorted. Missing tickets come first.
+    """
+    high = F.coalesce(high, F.lit(-(1 << 31) - 1).cast("bigint"))
+    upper = F.shiftright(high, 16)
+
+    def reached(counted: DataFrame, earlier: Column) -> Column:
+        # Numbers of one half: a bounded window.
+        sofar = F.sum("rows").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+        before = F.coalesce(sofar, F.lit(0)) + earlier
+        needed = counted.select("p", before.alias("b")).where(F.col("b") < n)
+        return needed.agg(F.max(F.struct("p", "b"))).scalar()
+
+    rows = F.count(F.lit(1)).alias("rows")
+    edge = reached(df.groupBy(upper.alias("p")).agg(rows), F.lit(0))
+    inside = df.where(upper == edge["p"]).groupBy(high.alias("p")).agg(rows)
+    cut = reached(inside, edge["b"])
+    return df.where(high <= cut["p"]).orderBy(ticket, key).limit(n)
+
+
 def _range_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..defaults import ORDER
 from .aggregate import daily_mean
-from .scale import last_n, recency, report_rows
+from .scale import last_n, least_tickets, recency, report_rows
 from .series import latest_per_site
 
 
@@ -26,7 +26,7 @@ def top_days(df: DataFrame, n: int = 6, column: str = "wqi") -> DataFrame:
 def random_sample(df: DataFrame, n: int = 1000, key: str = "record_number", salt: str = "") -> DataFrame:
     """``n`` rows picked by a hash of their key: the same rows however the table is partitioned."""
     ticket = F.md5(F.concat(F.col(key).cast("string"), F.lit(salt)))
-    return df.orderBy(ticket, key).limit(n)
+    return least_tickets(df, n, ticket, F.conv(F.substring(ticket, 1, 8), 16, 10).cast("bigint"), key)
 
 
 def hash_share(key: str = "record_number", salt: str = "") -> Column:

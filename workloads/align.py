@@ -29,6 +29,16 @@ def left_date_join(t):
     )
 
 
+@query(
+    "SELECT record_number, date, ph, rainfall, rain_temperature, rain_humidity, rain_wind_speed, rain_weather_condition FROM joined",
+    "ph " + RAIN,
+)
+def left_date_join_spread(t):
+    """The same join with a daily side that counts as too long to broadcast."""
+    daily = ops.prefix_weather(ops.weather_daily(t.weather))
+    return ops.join_daily(t.readings, daily, max_days=1).select("record_number", "date", "ph", *RAIN.split(), "rain_weather_condition")
+
+
 def _overlap_sql(weather: str) -> str:
     return (
         "SELECT a_min, a_max, b_min, b_max, (b_max < a_min OR b_min > a_max) AS disjoint FROM "

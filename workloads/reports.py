@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from envspark.defaults import CLASSES, UNKNOWN_CLASS
 from envspark.functions import calendar as cal
 from envspark.operators import aggregate as agg, align, distribution as dist
+from envspark.operators.scale import scratch_path
 from envspark.plans.enrich import wqi
 from envspark.sources.catalog import type_counts
+from envspark.sources.daily_sketches import DailySketches
 
 from .align import RAIN, _joined
 from .registry import query
@@ -605,3 +607,26 @@ def period_means(t):
 )
 def param_profile_by_class(t):
     return agg.group_moments(t.scored, "temperature")
+
+
+_FIRST_MONTH = "date_trunc('month', timestamp) = (SELECT min(date_trunc('month', timestamp)) FROM readings_big)"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", quantile_cont({c}, 1e-3) AS low, quantile_cont({c}, 2.5e-1) AS q1, quantile_cont({c}, 5e-1) AS median, "
+        f"quantile_cont({c}, 7.5e-1) AS q3, quantile_cont({c}, 9.99e-1) AS high FROM readings_big WHERE {_FIRST_MONTH}"
+        for c in BIG_PARAMS
+    ),
+    "low q1 median q3 high",
+)
+def quantiles_from_sketches(t):
+    """Quantiles of the first month from daily sketches that two updates made; the month's readings are read once."""
+    df = t.readings_big.select("timestamp", "order_id", *BIG_PARAMS)
+    sketches = DailySketches(t.spark, scratch_path(t.spark, "sketches"), list(BIG_PARAMS))
+    sketches.update(df.where("order_id % 2 = 0"), 1)
+    sketches.update(df.where("order_id % 2 = 1"), 2)
+    month = sketches.days().agg(F.date_trunc("month", F.min("day")).cast("date"), F.last_day(F.min("day"))).first()
+    found = sketches.quantiles(df, (0.001, 0.25, 0.5, 0.75, 0.999), *month)
+    rows = [(c, *answers) for c, answers in found.items()]  # one row a column
+    return t.spark.createDataFrame(rows, "column string, low double, q1 double, median double, q3 double, high double")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from envspark.functions import calendar as cal
 from envspark.operators import scale, series as ops, topk
 from envspark.operators.aggregate import daily_mean, null_report
+from envspark.operators.scale import scratch_path
+from envspark.sources.ordered_table import OrderedTable
 
 from .registry import query
 from .views import PARAMS
@@ -340,3 +342,43 @@ def chrono_split(t):
 )
 def half_counts(t):
     return ops.halves_label(t.scored).groupBy("half", "wqi_class").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# ---------------------------------------------------------------- a table kept in order
+
+_PLACED = f"SELECT *, row_number() OVER ({W}) - 1 AS position, count(*) OVER () AS n FROM readings"
+
+
+def _ordered(t):
+    slim = t.readings.select("timestamp", "record_number", "turbidity", "ph")
+    # Small files, so that the test tables have several.
+    return OrderedTable.write(slim, scratch_path(t.spark, "ordered-table"), file_rows=5_000)
+
+
+@query(f"SELECT record_number, turbidity, position FROM ({_PLACED}) x WHERE position % greatest(1, n // 500) = 0", "turbidity")
+def ordered_every_kth(t):
+    return _ordered(t).every_kth(500).select("record_number", "turbidity", "position")
+
+
+@query(
+    f"SELECT 'newest' AS part, record_number, ph FROM ({_PLACED}) x WHERE position >= n - 2000 "
+    f"UNION ALL SELECT 'first', record_number, ph FROM ({_PLACED}) x WHERE position < 100 "
+    f"UNION ALL SELECT 'middle', record_number, ph FROM ({_PLACED}) x WHERE position = n // 2",
+    "ph",
+)
+def ordered_ends(t):
+    """The newest 2,000 rows, the first 100 and the middle one, each from the files that hold them."""
+    table = _ordered(t)
+    parts = {"newest": table.newest(2000), "first": table.first(100), "middle": table.kth(table.count() // 2)}
+    rows = [df.select(F.lit(name).alias("part"), "record_number", "ph") for name, df in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(
+    "SELECT record_number, CASE WHEN position < n - CAST(ceil(n * 0.2) AS BIGINT) THEN 'train' ELSE 'test' END AS part "
+    f"FROM ({_PLACED}) x"
+)
+def ordered_split(t):
+    train, test = _ordered(t).chrono_split()
+    parts = [df.select("record_number", F.lit(name).alias("part")) for name, df in (("train", train), ("test", test))]
+    return parts[0].unionByName(parts[1])
