@@ -38,6 +38,24 @@ def coerce_numeric(
     return df.withColumns(parsed)
 
 
+def numbers_and_days(
+    df: DataFrame, timestamp: str | None = None, min_parse_share: float = 0.5
+) -> tuple[DataFrame, tuple]:
+    """Columns as :func:`coerce_numeric` parses them, and the first and last day, both from one aggregate.
+
+    Rows without a timestamp are counted, but left out.
+    """
+    parsed = {c: parse_number(F.col(f"`{c}`").cast("string")) for c in text_columns(df)}
+    date = F.col(f"`{timestamp}`").cast("date") if timestamp else F.lit(None).cast("date")
+    measures = [F.min(date).alias("first"), F.max(date).alias("last")]
+    for i, (c, v) in enumerate(parsed.items()):
+        measures += [F.count(v).alias(f"ok_{i}"), F.count(f"`{c}`").alias(f"all_{i}")]
+    counts = df.agg(*measures).first()
+    numeric = {c: v for i, (c, v) in enumerate(parsed.items()) if counts[f"ok_{i}"] >= min_parse_share * counts[f"all_{i}"]}
+    rows = df.where(F.col(f"`{timestamp}`").isNotNull()) if timestamp else df
+    return rows.withColumns(numeric) if numeric else rows, (counts["first"], counts["last"])
+
+
 def cap_outliers(
     df: DataFrame,
     columns: Sequence[str] | None = None,

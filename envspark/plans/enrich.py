@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..defaults import ORDER, SATURATION_PARAMETERS, SITE_NAMES, Parameter
 from ..functions import calendar as cal
 from ..functions.quality import CUTS, PARAMETERS, classify, combine, sub_index
-from ..operators.align import join_daily, overlap, prefix_weather, weather_daily
-from ..operators.clean import cap_and_fill, cap_outliers, climatology_fill, coerce_numeric, impute
+from ..operators.align import join_daily, prefix_weather, weather_daily
+from ..operators.clean import cap_and_fill, cap_outliers, climatology_fill, coerce_numeric, impute, numbers_and_days
 from ..sources.catalog import numeric_columns
 from ..sources.tables import drop_missing_time
 
@@ -84,18 +84,18 @@ def enrich(
     """Coerce, join weather, cap, impute, score and date the readings; every step can be left out.
 
     Text columns become numbers where at least half of their values are. Rows
-    without a timestamp are left out.
+    without a timestamp are left out. One aggregate of each table finds both
+    what is a number and which days there are.
 
     Weather that shares no date range with the readings is replaced by the
     usual values of each month (``fill_weather``).
     """
-    df = coerce_numeric(readings, min_parse_share=0.5)
-    if order[0] in df.columns:
-        df = drop_missing_time(df, order[0])
+    df, days = numbers_and_days(readings, order[0] if order[0] in readings.columns else None)
     if weather is not None:
-        daily = weather_daily(coerce_numeric(weather, min_parse_share=0.5))
+        parsed, weather_days = numbers_and_days(weather, "date")
+        daily = weather_daily(parsed)
         if fill_weather:
-            daily = _cover(df, daily, order[0])
+            daily = _cover(daily, days, weather_days)
         df = join_daily(df, prefix_weather(daily), order[0])
     # A site may be a number, but it is a name.
     numbers = [c for c in numeric_columns(df) if c not in order and c not in SITE_NAMES]
@@ -116,12 +116,13 @@ def process_readings(readings: DataFrame, order: Sequence[str] = ORDER) -> DataF
     return calendar_features(scored, order[0], autumn="Fall")
 
 
-def _cover(readings: DataFrame, daily: DataFrame, timestamp: str) -> DataFrame:
-    spans = overlap(readings, daily, timestamp).first()
-    if not spans["disjoint"]:
+def _cover(daily: DataFrame, days: tuple, weather_days: tuple) -> DataFrame:
+    """The weather, or usual values over ``days`` if it has none of these (first and last of each)."""
+    (first, last), (since, until) = days, weather_days
+    if first is None or since is None or not (until < first or since > last):
         return daily
     columns = [c for c in numeric_columns(daily) if c != "seq"]
-    filled = climatology_fill(daily, F.lit(spans["a_min"]), F.lit(spans["a_max"]), columns)
+    filled = climatology_fill(daily, F.lit(first), F.lit(last), columns)
     return filled.drop(*[f"{c}_std" for c in columns], "is_filled").withColumn("rain_filled", F.lit(True))
 
 
