@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..operators.scale import BROADCAST_ROWS, least_tickets, spread_left_join
 from .common import staged
 
 #: Host and path joined, and what becomes of urls that fit.
@@ -22,7 +23,7 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-#: The trees learn from this many labelled urls at most, chosen by hash.
+#: The trees learn from this many different labelled urls at most, chosen by hash.
 FIT_ROWS = 50_000
 
 
@@ -72,46 +73,58 @@ def lexical_features(url: pd.Series) -> pd.Series:
 
 
 def _suffix(host: Column) -> Column:
-    """The last label of the host and the first step of the path tell urls apart by suffix."""
+    """The last label of the host."""
     return F.substring_index(host, ".", -1)
 
 
 class UrlFilter:
-    """Trees and suffix statistics learned from labelled urls."""
+    """Trees and suffix statistics learned from labelled urls.
 
-    def __init__(self, trees: GBTClassificationModel | None, suffixes: dict[str, float], prior: float):
+    ``suffixes`` is a written table with one row for every suffix that a label
+    was seen with: ``suffix``, ``rate``.
+    """
+
+    def __init__(self, trees: GBTClassificationModel | None, suffixes: DataFrame | None, prior: float):
         self.trees, self.suffixes, self.prior = trees, suffixes, prior
 
     @classmethod
     def fit(cls, labelled: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 5, iterations: int = 15, depth: int = 4) -> UrlFilter:
-        """Learn from ``url, label`` (1: block). At most about ``fit_rows`` rows, chosen by hash, reach the trees.
+        """Learn from ``url, label`` (1: block). The trees see each different url and label once, weighted by its rows.
 
+        If there are more than ``fit_rows`` of these, the ``fit_rows`` with the least hashes are taken.
         Suffix statistics come from all rows: the share of blocked urls for each
-        of the 64 commonest host suffixes, drawn to the overall share. With one
+        host suffix, drawn to the overall share. With one
         kind of label or none, the filter gives the commoner kind to everything.
         """
-        rows = labelled.where("label IS NOT NULL").select("url", F.col("label").cast("int"))
-        total, blocked = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+        rows = labelled.where("label IS NOT NULL").select("url", F.col("label").cast("int").alias("label"))
+        # A url that fills many rows is one row a task here, and one row from here on.
+        rows = staged(rows.groupBy("url", "label").agg(F.count(F.lit(1)).cast("double").alias("weight")), "url_labels")
+        blocked_rows = F.sum(F.col("weight") * F.col("label"))
+        total, blocked = rows.agg(F.coalesce(F.sum("weight"), F.lit(0.0)), F.coalesce(blocked_rows, F.lit(0.0))).first()
         prior = blocked / total if total else 0.0
         if not 0 < blocked < total:
-            return cls(None, {}, prior)
-        by_suffix = rows.groupBy(_suffix(host_of(F.col("url"))).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("b"))
-        common = by_suffix.orderBy(F.col("n").desc(), "s").limit(64).collect()
-        model = cls(None, {r.s: (r.b + 5 * prior) / (r.n + 5) for r in common}, prior)
-        if total > fit_rows:
-            rows = rows.where(F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 20)) < int(fit_rows / total * (1 << 20)))
-        train = staged(model.features(rows), "url_features")
+            return cls(None, None, prior)
+        by_suffix = rows.groupBy(_suffix(host_of(F.col("url"))).alias("suffix")).agg(F.sum("weight").alias("n"), blocked_rows.alias("b"))
+        # Urls that are null have the suffix of an empty one.
+        rate = (F.col("b") + 5 * prior) / (F.col("n") + 5)
+        model = cls(None, staged(by_suffix.where("suffix IS NOT NULL").select("suffix", rate.alias("rate")), "url_suffixes"), prior)
+        ticket = F.xxhash64("url", "label", F.lit(seed))
+        train = staged(model.features(least_tickets(rows, fit_rows, ticket, F.shiftright(ticket, 32), "url")), "url_features")
         model.trees = GBTClassifier(
-            featuresCol="features", labelCol="label", maxIter=iterations, maxDepth=depth, stepSize=0.3, seed=seed
+            featuresCol="features", labelCol="label", weightCol="weight", maxIter=iterations, maxDepth=depth, stepSize=0.3, seed=seed
         ).fit(train)
         return model
 
     def features(self, rows: DataFrame) -> DataFrame:
-        suffix = _suffix(host_of(F.coalesce("url", F.lit(""))))
-        rate = F.lit(self.prior)
-        for s, r in self.suffixes.items():
-            rate = F.when(suffix == s, F.lit(r)).otherwise(rate)
-        return rows.withColumn("features", array_to_vector(F.concat(lexical_features("url"), F.array(rate))))
+        """``rows`` with ``features``; a suffix without statistics gets the overall share."""
+        suffix, rate = (f"_{max(rows.columns, key=len)}_{n}" for n in ("suffix", "rate"))
+        named = rows.withColumn(suffix, _suffix(host_of(F.coalesce("url", F.lit("")))))
+        rates = self.suffixes.select(F.col("suffix").alias(suffix), F.col("rate").alias(rate))
+        # One row a suffix; a suffix may hold most urls.
+        few = rates.count() <= BROADCAST_ROWS
+        known = named.join(F.broadcast(rates), suffix, "left") if few else spread_left_join(named, rates, suffix)
+        vector = F.concat(lexical_features("url"), F.array(F.coalesce(rate, F.lit(float(self.prior)))))
+        return known.withColumn("features", array_to_vector(vector)).drop(suffix, rate)
 
     def block_probability(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``url`` gains ``block_probability``; null urls are judged as empty ones."""
