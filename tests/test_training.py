@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from envspark.operators import modelling as ml
 from envspark.operators.boosting import HistogramBoosting
+from workloads import QUERIES, models
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +37,22 @@ def test_forest_rows_are_dealt_evenly(spark, rows, monkeypatch):
     assert walked.toDebugString.split("\n", 1)[1] == model.stages[-1].toDebugString.split("\n", 1)[1]
 
 
+def test_filled_rows_of_one_row_group_are_dealt_evenly(spark, monkeypatch, tmp_path):
+    """What a model with filled gaps is split, cleaned and trained from has a part for each core, though its file is one row group."""
+    given, split = [], models.chrono_split
+    monkeypatch.setattr(ml, "FOREST_ROWS", 100)
+    monkeypatch.setattr(models, "chrono_split", lambda df: given.append(df) or split(df))
+    spark.range(1_600).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id AS INT)) AS ts", "id % 50 AS user_id", "'error' AS event_type",
+        "CAST(id % 97 AS DOUBLE) AS value", "concat('{\"k\": ', id % 100, '}') AS props",
+    ).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    scored = QUERIES["batch_predict_filled"](spark, str(tmp_path))
+    sizes = [r["count"] for r in given[0].groupBy(F.input_file_name()).count().collect()]
+    known = 1_600 - 107
+    assert sum(sizes) == known and len(sizes) == min(spark.sparkContext.defaultParallelism, known // 100) > 1 and max(sizes) < 3 * min(sizes)
+    assert scored.where("scored").count() == scored.count() == 299
+
+
 def test_members_train_side_by_side(rows, monkeypatch):
     """Both boosted members are in training at once, and come out as if trained alone."""
     members = {"gbt_plain": {"rounds": 3, "depth": 2, "l2": 0.0}, "gbt": {"rounds": 2, "depth": 3}}
